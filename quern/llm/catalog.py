@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import canonical
+from quern.llm import canonical, encoding
 from quern.sources.tables import table
 
 
@@ -22,5 +22,18 @@ def p2_canonical_messages(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("turn_id", canonical.canonical("user_message").alias("canonical")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical_messages)}
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.damaged(table(spark, folder, "documents").select("doc_id", "text")).select(F.col("key").alias("doc_id")).distinct()
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = encoding.damaged(documents)
+    rest = encoding.from_twins(documents, found.where("lossy"))
+    whole = found.where("NOT lossy").select("key", "restored")
+    return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", F.contains("restored", F.lit("\ufffd")).alias("lossy"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical_messages, p8_found, p8_restored)}
 SQL: dict[str, str] = {}
