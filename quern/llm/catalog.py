@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import canonical, encoding
+from quern.llm import canonical, encoding, mixing, packing
 from quern.sources.tables import table
 
 
@@ -35,5 +35,52 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", F.contains("restored", F.lit("\ufffd")).alias("lossy"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical_messages, p8_found, p8_restored)}
-SQL: dict[str, str] = {}
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, folder, "container_specs"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where("n_pieces > 1").select("container_id", F.col("key").alias("doc_id")).distinct()
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.usage(_packed(spark, folder))
+
+
+def _mix_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "mix_targets")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*_mix_tables(spark, folder)).where("NOT reached").select("mix_id", "source")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(*_mix_tables(spark, folder)).withColumnRenamed("key", "doc_id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    tables = _mix_tables(spark, folder)
+    return mixing.actual(mixing.mix(*tables), mixing.shares(*tables))
+
+
+SQL: dict[str, str] = {
+    "p6_found": "SELECT container_id, doc_id FROM container_specs, documents WHERE strlen(text) > capacity",
+    "p7_found": """
+WITH sizes AS (SELECT lower(trim(source, ' ')) AS source, sum(coalesce(strlen(text), 0)) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1),
+wanted AS (
+  SELECT mix_id, lower(trim(source, ' ')) AS source, sum(weight) AS w, CASE WHEN count(max_repeats) = count(*) THEN max(max_repeats) END AS cap
+  FROM mix_targets GROUP BY ALL),
+shares AS (SELECT *, sum(w) OVER (PARTITION BY mix_id) AS whole, (SELECT sum(n) FROM sizes) AS total FROM wanted)
+SELECT mix_id, s.source FROM shares s LEFT JOIN sizes z ON s.source = z.source
+WHERE w > 0 AND (coalesce(n, 0) = 0 OR n * cap * whole < total * w)""",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_canonical_messages, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
+}
