@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import canonical, encoding, mixing, packing
+from quern.llm import canonical, encoding, mixing, packing, pairs
 from quern.sources.tables import table
 
 
@@ -35,6 +35,13 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", F.contains("restored", F.lit("\ufffd")).alias("lossy"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "agent_turns").select("turn_id", "user_message", "final_response", "safety_status")
+    labelled = table(spark, folder, "documents").select("text", "lang")
+    notice = F.upper(F.trim("safety_status")).isin("HIGH_RISK", "UNAVAILABLE")
+    return pairs.broken(turns, labelled, "turn_id", "user_message", "final_response", notice).withColumnRenamed("key", "turn_id")
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, folder, "container_specs"))
 
@@ -82,5 +89,5 @@ WHERE w > 0 AND (coalesce(n, 0) = 0 OR n * cap * whole < total * w)""",
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_canonical_messages, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
+    for f in (p2_found, p2_canonical_messages, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
 }
