@@ -155,13 +155,16 @@ def _suffixes(points: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.nda
 
 @dataclass
 class Endings:
-    """Share of the places of each n-gram that are the end of a text, and how often it occurs."""
+    """How often each n-gram ends a text, and how often it occurs at all."""
 
-    share: dict[int, np.ndarray]
-    count: dict[int, np.ndarray]
+    ends: dict[int, np.ndarray]
+    places: dict[int, np.ndarray]
 
     def likelihood(self, texts: pa.Array) -> np.ndarray:
-        """End-of-text likelihood of each text's last characters, longer n-grams counting more where they are frequent."""
+        """End-of-text likelihood of each text's last characters, longer n-grams counting more where they are frequent.
+
+        The texts are taken to be among those counted: each one's own end is left out.
+        """
         parts = []
         for block in cp.blocks(_trimmed(texts)):
             points, offsets = cp.decode(block)
@@ -178,9 +181,9 @@ class Endings:
             last = offsets[1:][full] - 1
             for n, (slots, inside) in _suffixes(points, offsets).items():
                 slot, ok = slots[last], inside[last]
-                seen = self.count[n][slot]
-                weight = np.where(ok, seen / (seen + 4.0), 0.0)
-                p[full] = weight * self.share[n][slot] + (1 - weight) * p[full]
+                seen, ended = np.maximum(self.places[n][slot] - 1, 0), np.maximum(self.ends[n][slot] - 1, 0)
+                weight = np.where(ok, seen / (seen + 10.0), 0.0)
+                p[full] = weight * ended / np.maximum(seen, 1) + (1 - weight) * p[full]
             parts.append(p)
         return np.concatenate(parts) if parts else np.zeros(0)
 
@@ -190,14 +193,14 @@ def fit_endings(texts: DataFrame, text: str) -> Endings:
     schema = "n int, slot int, ends long, places long"
     rows = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_count_suffixes, schema).groupBy("n", "slot").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     found = rows.where("ends > 0").toPandas()
-    share, count = {}, {}
+    ends, places = {}, {}
     for n in _ORDERS:
         own = found[found["n"] == n]
-        # an n-gram that ends no text has share 0; how often it occurs then does not matter
-        share[n], count[n] = np.zeros(1 << _END_BITS, np.float32), np.full(1 << _END_BITS, 4.0, np.float32)
-        share[n][own["slot"]] = own["ends"] / own["places"]
-        count[n][own["slot"]] = own["places"]
-    return Endings(share, count)
+        # n-grams that end no text are not asked for
+        ends[n], places[n] = np.zeros(1 << _END_BITS, np.float32), np.zeros(1 << _END_BITS, np.float32)
+        ends[n][own["slot"]] = own["ends"]
+        places[n][own["slot"]] = own["places"]
+    return Endings(ends, places)
 
 
 def _count_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +245,11 @@ def defects(prompts: pa.Array, responses: pa.Array, notices: pa.Array, languages
     at = np.flatnonzero(near)
     if len(at):
         # decomposed and disguised letters change lengths: what remains is compared in canonical form
-        a, b = (canonical_arrow(x.take(pa.array(at))).to_pylist() for x in (asked, answers))
-        out[at[[is_copy(x, y) for x, y in zip(a, b, strict=True)]]] = "copy"
+        sides = [x.take(pa.array(at)) for x in (asked, answers)]
+        a, b = (canonical_arrow(x).to_pylist() for x in sides)
+        # a disguised capital may have been lowered in its own script
+        c, d = (canonical_arrow(pc.utf8_lower(x)).to_pylist() for x in sides)
+        out[at[[is_copy(*x) or is_copy(*y) for x, y in zip(zip(a, b, strict=True), zip(c, d, strict=True), strict=True)]]] = "copy"
 
     open_ = np.array([x is None for x in out])
     own = pc.replace_substring_regex(answers, _QUOTED, " ")
@@ -255,7 +261,7 @@ def defects(prompts: pa.Array, responses: pa.Array, notices: pa.Array, languages
     open_ = np.array([x is None for x in out]) & ~notices.fill_null(False).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(open_)
     if len(at):
-        p, p_letters = languages.scores(asked.take(pa.array(at)))
+        p, p_letters = languages.scores(canonical_arrow(asked.take(pa.array(at))))
         r, r_letters = languages.scores(own.take(pa.array(at)))
         of_prompt, of_response = p.argmax(1), r.argmax(1)
         k = np.arange(len(at))
