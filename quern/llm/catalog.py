@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import canonical, encoding, mixing, packing, pairs
+from quern.llm import canonical, encoding, mixing, packing, pairs, pii
 from quern.sources.tables import table
 
 
@@ -35,6 +35,24 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", F.contains("restored", F.lit("\ufffd")).alias("lossy"))
 
 
+def _redactor(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, pii.Redactor]:
+    turns = table(spark, folder, "agent_turns").select("turn_id", "user_message")
+    logs = table(spark, folder, "resilience_logs").select("id", "reasoning")
+    return turns, logs, pii.build([(turns, "user_message"), (logs, "reasoning")])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    turns, logs, redactor = _redactor(spark, folder)
+    messages = pii.found(turns, "turn_id", "user_message", redactor).select(F.lit("user_message").alias("field"), F.col("key").alias("record_id"), "pii_type")
+    return messages.unionByName(pii.found(logs, "id", "reasoning", redactor).select(F.lit("reasoning").alias("field"), F.col("key").alias("record_id"), "pii_type"))
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    turns, logs, redactor = _redactor(spark, folder)
+    messages = pii.records(turns, "turn_id", "user_message", redactor).select(F.lit("user_message").alias("field"), F.col("key").alias("record_id"), "text", "types")
+    return messages.unionByName(pii.records(logs, "id", "reasoning", redactor).select(F.lit("reasoning").alias("field"), F.col("key").alias("record_id"), "text", "types"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "agent_turns").select("turn_id", "user_message", "final_response", "safety_status")
     labelled = table(spark, folder, "documents").select("text", "lang")
@@ -89,5 +107,5 @@ WHERE w > 0 AND (coalesce(n, 0) = 0 OR n * cap * whole < total * w)""",
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_canonical_messages, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
+    for f in (p2_found, p2_canonical_messages, p4_found, p4_redacted, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
 }
