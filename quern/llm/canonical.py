@@ -87,7 +87,7 @@ class _Tables:
         self.blank[[_BLANK, _LINE]] = True
         self.many[list(expansions)] = True
         self.flag = (_CHANGES * ((self.one != np.arange(size)) | self.many | (self.mark > 0))).astype(np.uint8)
-        self.flag[_ZWJ] = _CHANGES
+        self.flag[_ZWJ] = self.flag[0x1100:0x1200] = _CHANGES
         self.flag |= (_IS_BLANK * self.blank | _IS_ARABIC * self.arabic).astype(np.uint8)
         self.flag[_ZWNJ] = _IS_ZWNJ
         self.expansion = self._pool(expansions)
@@ -100,8 +100,9 @@ class _Tables:
         tag, _, rest = unicodedata.decomposition(ch).partition(" ")
         if tag in _TAGS or tag == "<compat>" and unicodedata.category(ch)[0] == "L":
             return "".join(cls._form(chr(int(x, 16))) for x in rest.split())
-        ch = unicodedata.normalize("NFC", ch)
-        return "".join(KEYBOARD.get(x) or LOOK_ALIKE.get(x) or x for x in ch)
+        # letters are united below their accents, so that composed and combining accents come to the same
+        plain = "".join(KEYBOARD.get(x) or LOOK_ALIKE.get(x) or x for x in unicodedata.normalize("NFD", ch))
+        return unicodedata.normalize("NFC", plain).replace("\u06cc\u0654", "\u0626")
 
     @staticmethod
     def _pool(table: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +156,26 @@ def _composed(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         rows = cp.rows_of(offsets)
 
 
+def _hangul(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Conjoining letters of Hangul composed to syllables, by the arithmetic of the Unicode standard."""
+    for first, count, second, others in ((0x1100, 19, 0x1161, 21), (0xAC00, 11172, 0x11A8, 27)):
+        after = (points >= second) & (points < second + others)
+        if not after.any():
+            continue
+        before, _ = _neighbours(points, offsets)
+        fits = after & (before >= first) & (before < first + count)
+        if first == 0xAC00:
+            fits &= (before - first) % 28 == 0
+        at = np.flatnonzero(fits)
+        points = points.copy()
+        if first == 0xAC00:
+            points[at - 1] += points[at] - second + 1
+        else:
+            points[at - 1] = 0xAC00 + ((points[at - 1] - first) * 21 + points[at] - second) * 28
+        points, offsets = cp.select(points, offsets, ~fits)
+    return points, offsets
+
+
 def _neighbours(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code point before and after each one in its row, -1 at the edges."""
     before, after = np.full(len(points), -1, np.int32), np.full(len(points), -1, np.int32)
@@ -177,7 +198,7 @@ def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     keep = points != _DROP
     if not keep.all():
         points, offsets = cp.select(points, offsets, keep)
-    points, offsets = _composed(points, offsets)
+    points, offsets = _composed(*_hangul(points, offsets))
     # the composed letter may itself have a keyboard or look-alike form
     points = t.one[points]
     joiners = (points == _ZWNJ) | (points == _ZWJ)

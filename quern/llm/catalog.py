@@ -65,7 +65,8 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _packed(spark, folder).where("n_pieces > 1").select("container_id", F.col("key").alias("doc_id")).distinct()
+    # taken from the finished packing: pieces that have their container
+    return _packed(spark, folder).where("n_pieces > 1 AND slot IS NOT NULL").select("container_id", F.col("key").alias("doc_id")).distinct()
 
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Blocks in a mix, and parts of each source whose sizes are counted.
-BLOCKS, FINE = 1 << 20, 1024
+BLOCKS, FINE = 1 << 20, 8192
 #: Least average number of documents in a shard.
 SHARD_DOCUMENTS = 64
 _LIST = "mix_id int, source string, shard int, width int, quota long, passes long, shift long, whole long"

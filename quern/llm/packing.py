@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts in which texts of one size are ranked, so that a frequent size is not ordered in one task.
-RANK_PARTS = 64
+#: Texts of one size that are ranked in one task, on average; a frequent size is ranked in parts.
+RANK_ROWS = 1 << 20
 
 
 def tokens(text: str) -> Column:
@@ -86,16 +86,17 @@ def pieces(items: DataFrame, key: str, text: str, specs: DataFrame, container: s
     of 1 or more hold nothing and are left out; repeated kinds count once.
     """
     kinds = specs.select(F.col(container).alias("container_id"), F.col(capacity).cast("long").alias("capacity")).where("capacity >= 1").distinct()
+    # a plan is made for each kind on the driver, so their number is small; each text is repeated once for each kind
+    each = F.array(*[F.struct(F.lit(k["container_id"]).cast(kinds.schema[0].dataType).alias("container_id"), F.lit(k["capacity"]).alias("capacity")) for k in kinds.orderBy("container_id", "capacity").collect()])
     sized = items.select(F.col(key).alias("key"), tokens(text).alias("size"))
-    # the kinds of containers are a handful of rows: this repeats each text once for each kind
-    both = sized.crossJoin(F.broadcast(kinds))
+    both = sized.select("key", "size", F.inline(each)) if kinds.limit(1).count() else sized.select("key", "size", F.lit(None).cast(kinds.schema[0].dataType).alias("container_id"), F.lit(1).cast("long").alias("capacity")).limit(0)
     both = both.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.expr("try_divide(size, capacity)"))).cast("int"))
     cut = both.select("*", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
     start = F.col("piece").cast("long") * F.col("capacity")
     return cut.select("container_id", "capacity", "key", "piece", "n_pieces", start.alias("start"), F.least(F.col("capacity"), F.col("size") - start).alias("tokens"))
 
 
-def pack(items: DataFrame, key: str, text: str, specs: DataFrame, container: str = "container_id", capacity: str = "capacity") -> DataFrame:
+def pack(items: DataFrame, key: str, text: str, specs: DataFrame, container: str = "container_id", capacity: str = "capacity", rank_rows: int = RANK_ROWS) -> DataFrame:
     """pieces() with ``slot``, the number of the container (from 0) of its kind that each piece goes to.
 
     Null and empty texts are pieces without tokens in container 0; a repeated row is packed each
@@ -108,7 +109,8 @@ def pack(items: DataFrame, key: str, text: str, specs: DataFrame, container: str
     for r in counts:
         histograms.setdefault((r["container_id"], r["capacity"]), {})[r["tokens"]] = r["count"]
     slot = _slots({kind: plan(h, kind[1]) for kind, h in histograms.items()})
-    ranked = cut.withColumn("part", F.pmod(F.xxhash64("key", "piece"), F.lit(RANK_PARTS)).cast("int"))
+    parts = max((-(-n // rank_rows) for h in histograms.values() for n in h.values()), default=1)
+    ranked = cut.withColumn("part", F.pmod(F.xxhash64("key", "piece"), F.lit(parts)).cast("int"))
     same = ["container_id", "capacity", "tokens", "part"]
     before = ranked.groupBy(*same).count().withColumn("before", F.sum("count").over(Window.partitionBy(*same[:3]).orderBy("part")) - F.col("count")).drop("count")
     inside = F.row_number().over(Window.partitionBy(*same).orderBy("key", "piece")) - 1

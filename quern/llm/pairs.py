@@ -109,8 +109,8 @@ class Languages:
 def fit_languages(labelled: DataFrame, text: str = "text", language: str = "lang", sample: int = LANGUAGE_SAMPLE, share: float = LANGUAGE_SHARE) -> Languages:
     """The language model of a bounded sample of labelled texts; labels are compared by their first part in lower case."""
     rows = labelled.select(F.col(text).alias("text"), F.lower(F.trim(F.split(F.trim(language), "[-_]")[0])).alias("lang")).where("text IS NOT NULL AND lang != ''")
-    total = rows.groupBy("lang").count()
-    known = [r["lang"] for r in total.crossJoin(F.broadcast(total.agg(F.sum("count").alias("n")))).where(F.col("count") >= F.col("n") * share).orderBy("lang").collect()]
+    least = (rows.count() or 0) * share
+    known = [r["lang"] for r in rows.groupBy("lang").count().where(F.col("count") >= least).orderBy("lang").collect()]
     rows = rows.where(F.col("lang").isin(known)) if known else rows.limit(0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "text")

@@ -40,7 +40,7 @@ def test_pack(spark):
     texts = [(i if i else None, "é" * r.choice([0, 1, 7, 7, 7, 30, 200]), 0, "x") for i in range(400)] + [(5, None, 0, "x"), (7, "abc", 0, "x"), (7, "abc", 0, "x")]
     docs = spark.createDataFrame(texts, "doc_id long, text string, tokens int, slot string").repartition(3)
     specs = spark.createDataFrame([(1, 50, "a"), (2, 7, "b"), (2, 7, "c"), (3, 0, "d"), (4, None, "e")], SPECS)
-    out = packing.pack(docs, "doc_id", "text", specs).collect()
+    out = packing.pack(docs, "doc_id", "text", specs, rank_rows=9).collect()
     size = lambda t: len((t or "").encode())
     for cid, cap in ((1, 50), (2, 7)):
         own = [x for x in out if x.container_id == cid]
