@@ -33,10 +33,9 @@ def domain(category: Column) -> Column:
 
 def domain_means(rows: DataFrame, entity: str, category: Column, score: str) -> DataFrame:
     """``entity, domain, mean_score, n`` with every domain for every entity, 0 where it has no score."""
-    spark = rows.sparkSession
     sized = rows.select(entity, category.alias("domain"), score)
     means = sized.where("domain IS NOT NULL").groupBy(entity, "domain").agg(F.avg(score).alias("mean_score"), F.count(score).alias("n"))
-    every = sized.select(entity).distinct().crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in DOMAINS], "domain string")))
+    every = sized.select(entity).distinct().select(entity, F.explode(F.array(*[F.lit(d) for d in DOMAINS])).alias("domain"))
     same = F.col(f"e.{entity}").eqNullSafe(F.col(f"m.{entity}")) & (F.col("e.domain") == F.col("m.domain"))
     joined = every.alias("e").join(means.alias("m"), same, "left")
     return joined.select(F.col(f"e.{entity}").alias(entity), "e.domain", F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), F.coalesce("n", F.lit(0)).alias("n"))

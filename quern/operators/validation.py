@@ -83,6 +83,6 @@ def unknown_fields(json_text: Column, allowed: list[str]) -> Column:
 
 def versions_agree(gold: DataFrame, predicted: DataFrame, version: str) -> DataFrame:
     """One row: distinct versions of both sides and whether they are one and the same."""
-    g = gold.agg(F.count_distinct(version).alias("gold_versions"), F.min(version).alias("g"))
-    p = predicted.agg(F.count_distinct(version).alias("predicted_versions"), F.min(version).alias("p"))
-    return g.crossJoin(p).select("gold_versions", "predicted_versions", F.coalesce((F.col("gold_versions") == 1) & (F.col("predicted_versions") == 1) & (F.col("g") == F.col("p")), F.lit(False)).alias("agree"))
+    sides = gold.select(F.col(version).alias("g"), F.lit(None).cast("string").alias("p")).unionByName(predicted.select(F.lit(None).cast("string").alias("g"), F.col(version).alias("p")))
+    n = sides.agg(F.count_distinct("g").alias("gold_versions"), F.count_distinct("p").alias("predicted_versions"), F.min("g").alias("g"), F.min("p").alias("p"))
+    return n.select("gold_versions", "predicted_versions", F.coalesce((F.col("gold_versions") == 1) & (F.col("predicted_versions") == 1) & (F.col("g") == F.col("p")), F.lit(False)).alias("agree"))

@@ -1,4 +1,4 @@
-"""Session defaults and the shared folder used to cut lineage."""
+"""Session defaults, and the package on the executors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,20 +29,6 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (single-machine
-    tests) a local folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quern-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     context = spark.sparkContext
