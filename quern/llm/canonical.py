@@ -283,6 +283,18 @@ def look_alike_classes(rows: DataFrame, key: Column, text: Column) -> DataFrame:
     return shown.select("key", _digest("canonical").alias("form"), _digest("text").alias("raw")).distinct()
 
 
+def look_alike_links(rows: DataFrame, key: Column, text: Column) -> DataFrame:
+    """``key, class_id, links``: the class of each row's text and how many rows look the same in other characters.
+
+    One row per key and text, however large a class is; copies are counted, not expanded.
+    """
+    members = look_alike_classes(rows, key, text)
+    literal = members.groupBy("form", "raw").agg(F.count("*").alias("same"))
+    whole = literal.groupBy("form").agg(F.sum("same").alias("all"))
+    sizes = literal.join(whole, "form").select("form", "raw", (F.col("all") - F.col("same")).alias("links"))
+    return members.join(sizes, ["form", "raw"]).select("key", F.lower(F.hex("form")).alias("class_id"), "links")
+
+
 def look_alike_pairs(rows: DataFrame, key: Column, text: Column) -> DataFrame:
     """``key_a < key_b``: pairs of rows whose texts look the same but are not the same characters.
 

@@ -35,6 +35,11 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", F.contains("restored", F.lit("\ufffd")).alias("lossy"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "agent_turns").select("turn_id", "user_message")
+    return canonical.look_alike_links(turns, F.col("turn_id"), F.col("user_message")).withColumnRenamed("key", "turn_id")
+
+
 def _redactor(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, pii.Redactor]:
     turns = table(spark, folder, "agent_turns").select("turn_id", "user_message")
     logs = table(spark, folder, "resilience_logs").select("id", "reasoning")
@@ -108,5 +113,5 @@ WHERE w > 0 AND (coalesce(n, 0) = 0 OR n * cap * whole < total * w)""",
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_canonical_messages, p4_found, p4_redacted, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
+    for f in (p2_found, p2_canonical_messages, p2_classes, p4_found, p4_redacted, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
 }

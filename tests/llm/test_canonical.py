@@ -49,6 +49,8 @@ def test_pairs_and_quotes(spark):
     turns = spark.createDataFrame([(1, "héllo you", "q"), (2, "héllo you", "q"), (3, "héllo you", "q"), (3, "héllo you", "q"), (4, None, "q"), (5, " ", "q"), (6, "​", "q"), (None, "héllo  you", "q"), (7, "Héllo you", "q")], "key long, text string, form string")
     got = ca.look_alike_pairs(turns, F.col("key"), F.col("text")).collect()
     assert sorted(map(tuple, got)) == [(1, 2), (2, 3)]
+    links = {(r.key, r.class_id): r.links for r in ca.look_alike_links(turns, F.col("key"), F.col("text")).collect()}
+    assert len(links) == 4 and len({c for _, c in links}) == 2 and {k: n for (k, _), n in links.items()} == {1: 1, 2: 2, 3: 1, 7: 0}
     quotes = spark.createDataFrame([(10, 1, "ｈéｌｌｏ"), (11, 1, "héllo"), (12, 1, "hello"), (13, 1, ""), (14, 1, None), (15, 99, "x"), (16, 1, "​")], "s long, key long, quote string")
     assert [tuple(r) for r in ca.disguised_quotes(quotes, turns, "s", "key", "quote", "text").collect()] == [(1, 10)]
     assert ca.look_alike_pairs(turns.limit(0), F.col("key"), F.col("text")).count() == 0
