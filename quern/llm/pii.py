@@ -6,8 +6,8 @@ around it; spans above the calibrated threshold of their type are kept, the sure
 
 The trees are trained on sentences of a small grammar below: invented names, streets and numbers
 in the usual formats, in frames that state what they are or leave it open, and look-alikes that are not
-personal. Name words are learned from a bounded sample of the texts: words that often follow
-titles, greetings and introductions.
+personal. Name words are learned from all texts: words that often follow titles, greetings and
+introductions.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,8 +30,8 @@ from quern.llm.canonical import canonical_arrow
 from quern.llm.trees import Boosted, fit
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-#: Texts that the name words are learned from (a bounded sample, chosen by hash), and words learned at most.
-NAME_SAMPLE, MAX_NAME_WORDS = 60_000, 5_000
+#: Name words learned at most.
+MAX_NAME_WORDS = 5_000
 #: Occurrences after an introduction that a name word needs, and their least share of its occurrences.
 MIN_INTRODUCED, MIN_INTRODUCED_SHARE = 2, 0.08
 #: Sentences in the training grammar.
@@ -318,29 +319,42 @@ _WORD = r"[^\W\d_][\w'’\u200c\u064b-\u0652-]+"
 _AFTER_TITLE = re.compile(rf"(?<![\w'’])(?:{TITLES})\.? ({_WORD})", re.I)
 _AFTER_INTRO = re.compile(rf"(?<!\w)(?:{INTRODUCED}) ({_WORD}) ({_WORD})", re.I)
 _TOKEN = re.compile(_WORD)
+#: A text without any of these words introduces nobody.
+_MAY_SHOW = "(?i)" + "|".join(x.replace(r"m(?=\.)", r"m\.") for x in (TITLES, INTRODUCED))
+#: Words counted in a task before they are handed on.
+_COUNTED = 500_000
 
 
 def _count_names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shown: dict[str, int] = {}
-    seen: dict[str, int] = {}
+    shown: Counter[str] = Counter()
+    seen: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        words = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([shown[w] for w in words], pa.int64()), pa.array([seen[w] for w in words], pa.int64())], ["word", "shown", "seen"])
+
     for batch in batches:
-        for text in canonical_arrow(batch.column(0)).to_pylist():
-            if not text:
+        texts = canonical_arrow(batch.column(0)).fill_null("")
+        may_show = pc.match_substring_regex(texts, _MAY_SHOW).to_numpy(zero_copy_only=False)
+        for text, may in zip(texts.to_pylist(), may_show.tolist(), strict=True):
+            seen.update(map(str.lower, _TOKEN.findall(text)))
+            if not may:
                 continue
-            for w in _TOKEN.findall(text):
-                seen[w.lower()] = seen.get(w.lower(), 0) + 1
             for m in (*_AFTER_TITLE.finditer(text), *_AFTER_INTRO.finditer(text)):
                 first = m.group(1)
                 for w in m.groups():
                     # a word in lower case after one in capitals is not part of the name
                     if w.islower() <= first.islower() and not re.fullmatch(rf"(?:{TITLES})\.?", w.lower()):
-                        shown[w.lower()] = shown.get(w.lower(), 0) + 1
-    words = list(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([shown.get(w, 0) for w in words], pa.int64()), pa.array([seen[w] for w in words], pa.int64())], ["word", "shown", "seen"])
+                        shown[w.lower()] += 1
+        if len(seen) > _COUNTED:
+            yield counted()
+            shown.clear()
+            seen.clear()
+    yield counted()
 
 
-def learn_names(texts: Sequence[tuple[DataFrame, str]], sample: int = NAME_SAMPLE) -> frozenset[str]:
-    """Words that often follow an introduction, from a bounded sample of the texts.
+def learn_names(texts: Sequence[tuple[DataFrame, str]]) -> frozenset[str]:
+    """Words that often follow an introduction, counted over all texts.
 
     At most MAX_NAME_WORDS words come to the driver, the most frequent first.
     """
@@ -348,9 +362,7 @@ def learn_names(texts: Sequence[tuple[DataFrame, str]], sample: int = NAME_SAMPL
     for df, column in texts:
         part = df.select(F.col(column).alias("text")).where("text IS NOT NULL AND text != ''")
         union = part if union is None else union.unionByName(part)
-    share = min(1.0, sample / max(1, union.count()))
-    some = union.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    counted = some.mapInArrow(_count_names, "word string, shown long, seen long").groupBy("word").agg(F.sum("shown").alias("shown"), F.sum("seen").alias("seen"))
+    counted = union.mapInArrow(_count_names, "word string, shown long, seen long").groupBy("word").agg(F.sum("shown").alias("shown"), F.sum("seen").alias("seen"))
     rows = counted.where((F.col("shown") >= MIN_INTRODUCED) & (F.col("shown") >= F.col("seen") * MIN_INTRODUCED_SHARE) & (F.length("word") >= 3))
     return frozenset(r.word for r in rows.orderBy(F.desc("shown"), "word").limit(MAX_NAME_WORDS).collect())
 
@@ -450,8 +462,8 @@ def redact(text: Column, redactor: Redactor) -> Column:
     return run(text)
 
 
-def build(texts: Sequence[tuple[DataFrame, str]], sample: int = NAME_SAMPLE) -> Redactor:
-    return Redactor(train(), learn_names(texts, sample))
+def build(texts: Sequence[tuple[DataFrame, str]]) -> Redactor:
+    return Redactor(train(), learn_names(texts))
 
 
 def records(rows: DataFrame, key: str, text: str, redactor: Redactor) -> DataFrame:

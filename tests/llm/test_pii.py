@@ -51,3 +51,12 @@ def test_frames(spark, redactor):
     done = pii.records(df, "id", "body", redactor).collect()
     assert len(done) == 302 and {x.key: x.text for x in done}[900] is None
     assert pii.found(df.limit(0), "id", "body", redactor).count() == 0
+
+
+def test_names_of_all_texts(spark):
+    """Each name is introduced twice in 70,000 texts: none may be lost to a sample."""
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    rows = [(f"My name is Qu{word(i)} Za{word(i)} and this is note {n}.",) for i in range(200) for n in "ab"]
+    plain = spark.range(70_000).selectExpr("concat('I take the short way home, ', id) AS body")
+    words = pii.learn_names([(spark.createDataFrame(rows, "body string").unionByName(plain), "body")])
+    assert {f"{head}{word(i)}" for i in range(200) for head in ("qu", "za")} <= words
