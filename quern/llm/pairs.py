@@ -3,7 +3,7 @@
 Two models are trained from the tables at hand. A naive Bayes model over character trigrams,
 counted per labelled language, gives the language posteriors of prompt and response; a full answer
 whose posterior favours another language than the prompt's is a defect. N-grams of characters are
-counted over all responses, at the end of a text and anywhere: an ending whose n-grams mostly go on
+counted over all distinct responses, at the end of a text and anywhere: an ending whose n-grams mostly go on
 elsewhere has a low end-of-text likelihood, and the response is taken to break off.
 """
 
@@ -188,10 +188,20 @@ class Endings:
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
+def _trim(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_trimmed(batch.column(0)).cast(pa.string())], ["text"])
+
+
+def _distinct(texts: DataFrame, text: str) -> DataFrame:
+    """Each text once, without what may follow a broken end."""
+    return texts.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_trim, "text string").distinct()
+
+
 def fit_endings(texts: DataFrame, text: str) -> Endings:
-    """N-gram counts over all texts, in tables of a fixed number of slots."""
+    """N-gram counts over all distinct texts, in tables of a fixed number of slots; copies of a text do not vouch for each other."""
     schema = "n int, slot int, ends long, places long"
-    rows = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_count_suffixes, schema).groupBy("n", "slot").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
+    rows = _distinct(texts, text).mapInArrow(_count_suffixes, schema).groupBy("n", "slot").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
     found = rows.where("ends > 0").toPandas()
     ends, places = {}, {}
     for n in _ORDERS:
@@ -207,7 +217,7 @@ def _count_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     places = {n: np.zeros(1 << _END_BITS, np.int64) for n in _ORDERS}
     ends = {n: np.zeros(1 << _END_BITS, np.int64) for n in _ORDERS}
     for batch in batches:
-        for block in cp.blocks(_trimmed(batch.column(0))):
+        for block in cp.blocks(batch.column(0)):
             points, offsets = cp.decode(block)
             last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
             for n, (slots, inside) in _suffixes(points, offsets).items():
@@ -256,9 +266,12 @@ def defects(prompts: pa.Array, responses: pa.Array, notices: pa.Array, languages
     refused = pc.match_substring_regex(own, _REFUSED).to_numpy(zero_copy_only=False)
     out[open_ & refused] = "refusal"
     open_ &= ~refused
-    out[open_ & (endings.likelihood(answers) < MIN_END)] = "truncated"
+    # a fixed notice is one text, however often it was sent: its ending has no others to vouch for it
+    open_ &= ~notices.fill_null(False).to_numpy(zero_copy_only=False)
+    broken_off = open_ & (endings.likelihood(answers) < MIN_END)
+    out[broken_off] = "truncated"
 
-    open_ = np.array([x is None for x in out]) & ~notices.fill_null(False).to_numpy(zero_copy_only=False)
+    open_ &= ~broken_off
     at = np.flatnonzero(open_)
     if len(at):
         p, p_letters = languages.scores(canonical_arrow(asked.take(pa.array(at))))

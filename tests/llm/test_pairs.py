@@ -51,3 +51,15 @@ def test_held_out_languages(spark):
 
     scores, letters = model.scores(pa.array([EN[3], DE[3], "", "x" * 3_000_000]))
     assert [model.names[i] for i in scores[:2].argmax(1)] == ["en", "de"] and letters.tolist()[2:] == [0, 3_000_000]
+
+
+def test_copies_do_not_vouch(spark):
+    """A truncated response delivered many times, with changing marks after it, stays truncated; a repeated notice is none."""
+    r = random.Random(2)
+    cut = make(r, "en")[:61].rstrip()
+    rows = [(i, " ".join(r.sample(DE, 2)) + f" {i}", make(r, "en").replace("phone", f"phone {i}"), "") for i in range(400)]
+    rows += [(1000 + i, "How is it?", cut + ("", " **", "…")[i % 3], "") for i in range(600)] + [(2000 + i, "How is it?", "The safety check is paused", "UNAVAILABLE") for i in range(3)]
+    turns = spark.createDataFrame(rows, "id long, q string, a string, s string")
+    labelled = spark.createDataFrame([], "text string, lang string")
+    got = pairs.broken(turns, labelled, "id", "q", "a", F.col("s") == "UNAVAILABLE").collect()
+    assert {(x.key, x.defect) for x in got} == {(1000 + i, "truncated") for i in range(600)}
