@@ -31,7 +31,7 @@ from quern.llm.canonical import canonical_arrow
 LANGUAGE_SAMPLE = 300
 #: Languages below this share of the labelled texts are not modelled.
 LANGUAGE_SHARE = 0.01
-_TRIGRAM_BITS, _END_BITS, _ORDERS = 15, 18, (4, 8, 16)
+_TRIGRAM_BITS, _ORDERS = 15, (4, 8, 16)
 #: Letters that a text needs for its language to be judged, and log-odds per text to call it another one.
 MIN_LETTERS, MIN_LOG_ODDS = 20, 15.0
 #: End-of-text likelihood below which a response breaks off.
@@ -139,7 +139,7 @@ def _trimmed(texts: pa.Array) -> pa.Array:
 
 
 def _suffixes(points: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each order the slot of the n-gram that ends at each position, and whether it lies inside its row."""
+    """For each order the 64-bit hash of the n-gram that ends at each position, and whether it lies inside its row."""
     h = _folds()[1][points].astype(np.uint64)
     place = np.arange(len(points)) - np.repeat(offsets[:-1], np.diff(offsets))
     out, base, n = {}, np.uint64(0x9E3779B97F4A7C15), 1
@@ -149,14 +149,45 @@ def _suffixes(points: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.nda
             longer[n:] += h[:-n] * base
             h, base, n = longer, base * base, 2 * n
             if n in _ORDERS:
-                out[n] = (((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _END_BITS)).astype(np.int64), place >= n - 1)
+                mixed = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                out[n] = (mixed ^ mixed >> np.uint64(32), place >= n - 1)
     return out
 
 
+class Grams:
+    """A set of hashed n-grams, each with its place in the sorted list."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(hashes.astype(np.uint64))
+
+    @functools.cached_property
+    def _may(self) -> tuple[np.ndarray, np.uint64]:
+        """Whether any n-gram starts with these bits: most others are passed by without a search."""
+        bits = max(16, int(len(self.hashes)).bit_length() + 4)
+        shift = np.uint64(64 - bits)
+        table = np.zeros(1 << bits, bool)
+        table[self.hashes >> shift] = True
+        return table, shift
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes}
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``hashes`` that are in the set, and their places in the list."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        table, shift = self._may
+        at = np.flatnonzero(table[hashes >> shift])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = self.hashes[place] == hashes[at]
+        return at[same], place[same]
+
+
 @dataclass
 class Endings:
-    """How often each n-gram ends a text, and how often it occurs at all."""
+    """How often each n-gram that ends a text does so, and how often it occurs at all."""
 
+    grams: dict[int, Grams]
     ends: dict[int, np.ndarray]
     places: dict[int, np.ndarray]
 
@@ -179,10 +210,11 @@ class Endings:
             p = np.full(len(offsets) - 1, 0.5)
             full = offsets[1:] > offsets[:-1]
             last = offsets[1:][full] - 1
-            for n, (slots, inside) in _suffixes(points, offsets).items():
-                slot, ok = slots[last], inside[last]
-                seen, ended = np.maximum(self.places[n][slot] - 1, 0), np.maximum(self.ends[n][slot] - 1, 0)
-                weight = np.where(ok, seen / (seen + 10.0), 0.0)
+            for n, (hashes, inside) in _suffixes(points, offsets).items():
+                at, place = self.grams[n].find(hashes[last])
+                seen, ended = np.zeros(len(last)), np.zeros(len(last))
+                seen[at], ended[at] = np.maximum(self.places[n][place] - 1, 0), np.maximum(self.ends[n][place] - 1, 0)
+                weight = np.where(inside[last], seen / (seen + 10.0), 0.0)
                 p[full] = weight * ended / np.maximum(seen, 1) + (1 - weight) * p[full]
             parts.append(p)
         return np.concatenate(parts) if parts else np.zeros(0)
@@ -199,33 +231,52 @@ def _distinct(texts: DataFrame, text: str) -> DataFrame:
 
 
 def fit_endings(texts: DataFrame, text: str) -> Endings:
-    """N-gram counts over all distinct texts, in tables of a fixed number of slots; copies of a text do not vouch for each other."""
-    schema = "n int, slot int, ends long, places long"
-    rows = _distinct(texts, text).mapInArrow(_count_suffixes, schema).groupBy("n", "slot").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
-    found = rows.where("ends > 0").toPandas()
-    ends, places = {}, {}
+    """N-gram counts over all distinct texts; copies of a text do not vouch for each other.
+
+    Only n-grams that end some text are counted. Of those, the ones that occur once come to the driver
+    as a hash only: with a text's own end left out, nothing is known of them.
+    """
+    last = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_last_grams, "n int, gram long").distinct().toPandas()
+    grams = {n: Grams(last["gram"][last["n"] == n].to_numpy(np.int64).view(np.uint64)) for n in _ORDERS}
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_suffixes(batches, grams)
+
+    rows = _distinct(texts, text).mapInArrow(count, "n int, gram long, ends long, places long").groupBy("n", "gram").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
+    found = rows.where("places > 1").toPandas()
+    kept, ends, places = {}, {}, {}
     for n in _ORDERS:
         own = found[found["n"] == n]
-        # n-grams that end no text are not asked for
-        ends[n], places[n] = np.zeros(1 << _END_BITS, np.float32), np.zeros(1 << _END_BITS, np.float32)
-        ends[n][own["slot"]] = own["ends"]
-        places[n][own["slot"]] = own["places"]
-    return Endings(ends, places)
+        hashes = own["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        kept[n] = Grams(hashes)
+        ends[n], places[n] = (own[c].to_numpy(np.float64)[order] for c in ("ends", "places"))
+    return Endings(kept, ends, places)
+
+
+def _last_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in cp.blocks(_trimmed(batch.column(0))):
+            points, offsets = cp.decode(block)
+            last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+            for n, (hashes, inside) in _suffixes(points, offsets).items():
+                own = np.unique(hashes[last][inside[last]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own.view(np.int64))], ["n", "gram"])
 
 
-def _count_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places = {n: np.zeros(1 << _END_BITS, np.int64) for n in _ORDERS}
-    ends = {n: np.zeros(1 << _END_BITS, np.int64) for n in _ORDERS}
+def _count_suffixes(batches: Iterable[pa.RecordBatch], grams: dict[int, Grams]) -> Iterator[pa.RecordBatch]:
+    places, ends = ({n: np.zeros(len(g.hashes), np.int64) for n, g in grams.items()} for _ in range(2))
     for batch in batches:
         for block in cp.blocks(batch.column(0)):
             points, offsets = cp.decode(block)
             last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-            for n, (slots, inside) in _suffixes(points, offsets).items():
-                places[n] += np.bincount(slots[inside], minlength=1 << _END_BITS)
-                ends[n] += np.bincount(slots[last][inside[last]], minlength=1 << _END_BITS)
-    for n in _ORDERS:
-        slots = np.flatnonzero(places[n])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), n, np.int32)), pa.array(slots.astype(np.int32)), pa.array(ends[n][slots]), pa.array(places[n][slots])], ["n", "slot", "ends", "places"])
+            for n, (hashes, inside) in _suffixes(points, offsets).items():
+                size = len(grams[n].hashes)
+                places[n] += np.bincount(grams[n].find(hashes[inside])[1], minlength=size)
+                ends[n] += np.bincount(grams[n].find(hashes[last][inside[last]])[1], minlength=size)
+    for n, g in grams.items():
+        at = np.flatnonzero(places[n])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(g.hashes[at].view(np.int64)), pa.array(ends[n][at]), pa.array(places[n][at])], ["n", "gram", "ends", "places"])
 
 
 _WORD = re.compile(r"[^\W_]+")

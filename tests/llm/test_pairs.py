@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,26 @@ def test_copies_do_not_vouch(spark):
     labelled = spark.createDataFrame([], "text string, lang string")
     got = pairs.broken(turns, labelled, "id", "q", "a", F.col("s") == "UNAVAILABLE").collect()
     assert {(x.key, x.defect) for x in got} == {(1000 + i, "truncated") for i in range(600)}
+
+
+def test_counts_are_exact(spark):
+    """Rare sound endings keep their likelihood among a million other n-grams."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    ends = [word(16) for _ in range(50)]
+    texts = [f"{word(1500)} {end}" for end in ends for _ in range(12)]
+    model = pairs.fit_endings(spark.createDataFrame([(x,) for x in texts], "a string"), "a")
+    whole = "\n".join(texts)
+
+    def want(end):
+        p = 0.5
+        for n in (4, 8, 16):
+            places = len(re.findall(f"(?={end[-n:]})", whole)) - 1
+            p = (11 + 10 * p) / (places + 10)
+        return p
+
+    got = model.likelihood(pa.array(texts))
+    assert max(abs(p - want(t[-16:])) for p, t in list(zip(got, texts, strict=True))[::12]) < 1e-9
+    assert (model.places[16] == 12).all() and len(model.places[16]) == 50
