@@ -29,8 +29,6 @@ from pyspark.sql import types as T
 
 #: Charsets that a text may have been written or read in by mistake; where several explain the same, the first is taken.
 CHARSETS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp1257", "cp437", "cp850", "mac_roman", "koi8-r", "iso8859-6")
-#: Twins whose alignment is tested; a larger corpus is sampled by hash. What is learned is applied to all texts.
-MAX_TWINS = 40_000
 #: Aligned characters that a conversion must explain before it is applied, and how many of them must differ.
 MIN_EXPLAINED, MIN_DISTINCT = 6, 2
 PASSES = 3
@@ -315,13 +313,13 @@ def _learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["written", "read", "garbled", "clean", "exact", "n"])
 
 
-def learn(documents: DataFrame, key: str = "doc_id", text: str = "text", max_twins: int = MAX_TWINS) -> Repair:
-    """The conversions that explain differences between twins, likeliest first.
+def learn(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Repair:
+    """The conversions that explain differences between all twins, likeliest first.
 
     What comes to the driver is one row per conversion and character, independent of the corpus' size.
     """
-    sample = twins(documents, key, text).orderBy(F.xxhash64("other")).limit(max_twins)
-    spread = sample.repartition(8, "other")
+    # a number of partitions of its own: pairs are small, but each is aligned under all charsets
+    spread = twins(documents, key, text).repartition(max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "other")
     rows = spread.mapInPandas(_learn, "written string, read string, garbled string, clean string, exact boolean, n long").groupBy("written", "read", "garbled", "clean", "exact").agg(F.sum("n").alias("n")).collect()
     return choose(((r.written, r.read, r.garbled, r.clean, r.exact, r.n) for r in rows), vocabulary(documents, text))
 

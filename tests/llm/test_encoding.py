@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import encoding as en
 
@@ -59,3 +60,18 @@ def test_double_damage_and_empty(spark):
     assert en.Repair([c])(twice) == "déjà vu – « été »"
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert en.damaged(empty).count() == 0
+
+
+def test_every_twin_is_learned_from(spark):
+    """A conversion shown by few twins is learned among more than 40,000 others, whatever their hashes."""
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    clean = [f"Brune reste {letters(i)} à l'été après le goûter de" for i in range(3_000)]
+    rare = spark.createDataFrame([(c, spoiled(c, "utf-8", "mac_roman")) for c in clean], "clean string, bad string")
+    # the rare twins come last in the order of hashes
+    rare = rare.orderBy(F.desc(F.xxhash64("bad"))).limit(3).collect()
+    word = "concat(" + ", ".join(f"char(97 + cast(id / {26**k} as int) % 26)" for k in range(4)) + ")"
+    common = spark.range(41_000).selectExpr("id AS doc_id", f"concat('Le texte blanc ', {word}, ' caf\u00e9 br\u00fbl\u00e9') AS text")
+    bad = common.selectExpr("doc_id + 100000 AS doc_id", "replace(replace(text, '\u00e9', '\u00c3\u00a9'), '\u00fb', '\u00c3\u00bb') AS text")
+    rows = [(200_000 + 10 * i + k, t) for i, r in enumerate(rare) for k, t in enumerate([r.clean, r.clean, r.bad])]
+    df = common.unionByName(common).unionByName(bad).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {("utf-8", "cp1252"), ("utf-8", "mac_roman")} <= {(c.written, "cp1252" if c.read in ("latin-1", "cp1254") else c.read) for c in en.learn(df).conversions}
