@@ -29,10 +29,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    found = encoding.damaged(documents)
-    rest = encoding.from_twins(documents, found.where("lossy"))
+    repair = encoding.learn(documents)
+    found = encoding.damaged(documents, repair=repair)
+    rest = encoding.from_twins(documents, found.where("lossy"), repair=repair)
     whole = found.where("NOT lossy").select("key", "restored")
-    return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", F.contains("restored", F.lit("\ufffd")).alias("lossy"))
+    return whole.unionByName(rest).select(F.col("key").alias("doc_id"), "restored", (F.contains("restored", F.lit("\ufffd")) | F.col("restored").rlike(encoding.LOST_WORDS)).alias("lossy"))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:

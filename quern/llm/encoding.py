@@ -250,9 +250,13 @@ class Repair:
         return max(self.words.values(), default=0) / MIN_GAIN
 
 
-def _sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
+#: Ends of sentences: line breaks and closing punctuation; and those that are no lost characters.
+_CUT, _CUT_LOST = r"(?<=\n)|(?<=[.!?] )", r"(?<=\n)|(?<=[.!] )|(?<=[^?\s«(\"-]\? )"
+
+
+def _sentences(documents: DataFrame, key: str, text: str, cut: str = _CUT) -> DataFrame:
     """``key, part, sentence`` with whole texts cut at line breaks and after closing punctuation."""
-    return documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(text, r"(?<=\n)|(?<=[.!?] )")).alias("part", "sentence"))
+    return documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.split(text, cut)).alias("part", "sentence"))
 
 
 def _skeleton(c: str) -> Column:
@@ -390,20 +394,58 @@ def damaged(documents: DataFrame, key: str = "doc_id", text: str = "text", repai
     return judged.where("lossy OR restored != text")
 
 
-def from_twins(documents: DataFrame, lossy: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def from_twins(documents: DataFrame, lossy: DataFrame, key: str = "doc_id", text: str = "text", repair: Repair | None = None) -> DataFrame:
     """``key, restored``: lossy texts with those sentences replaced that have a clean twin.
 
     A twin is the most frequent sound sentence with the same stripped text of 12 letters or more;
-    the runs of characters between the same ASCII characters are taken over from it.
+    the runs of characters between the same ASCII characters are taken over from it. A sentence without
+    such a twin is compared by its shape, with a question mark for each character outside ASCII or lost: it
+    is restored where all sound sentences of that shape that agree with what is left of it are one. With
+    ``repair``, sound sentences are repaired before they are compared by shape.
     """
-    sound = _sentences(documents, key, text).select(F.trim(F.regexp_replace("sentence", "[0-9]+", "0")).alias("form")).where(f"NOT contains(form, '{_LOST}')").groupBy("form").count()
+    parts = _sentences(lossy.select("key", F.col("restored").alias("text")), "key", "text", _CUT_LOST)
+    lost = F.col("sentence").contains(_LOST) | F.col("sentence").rlike(LOST_WORDS)
+    sound = _sentences(documents, key, text, _CUT_LOST).select(F.trim(F.regexp_replace("sentence", "[0-9]+", "0")).alias("form"))
+    sound = sound.where(~(F.col("form").contains(_LOST) | F.col("form").rlike(LOST_WORDS))).groupBy("form").count()
     letters = F.length(F.regexp_replace("at", "[^A-Za-z]", "")) >= 12
     best = sound.select("form", "count", F.trim(_skeleton("form")).alias("at")).where(letters).groupBy("at").agg(F.max_by("form", F.struct("count", "form")).alias("twin"))
-    parts = _sentences(lossy.select("key", F.col("restored").alias("text")), "key", "text").withColumn("at", F.when(F.col("sentence").contains(_LOST), F.trim(_skeleton("sentence"))))
+    parts = parts.withColumn("at", F.when(F.col("sentence").contains(_LOST), F.trim(_skeleton("sentence"))))
     joined = parts.join(best, "at", "left").withColumn("sentence", _merge("sentence", "twin"))
+
+    shape = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "0"), r"[^\x00-\x7F]", "?"))
+    asked = joined.where(lost).select("sentence", shape("sentence").alias("shape")).where(F.length(F.regexp_replace("shape", r"[^?A-Za-z]", "")) >= 12).distinct()
+    offered = sound.select("form", shape("form").alias("shape")).where(r"form RLIKE '[^\\x00-\\x7F]'").join(F.broadcast(asked.select("shape").distinct()), "shape", "left_semi")
+    if repair:
+        offered = offered.select("shape", repaired("form", repair).alias("form")).where(shape("form") == F.col("shape")).distinct()
+    filled = asked.join(offered, "shape").select("sentence", _fill("sentence", "form").alias("filled")).where("filled IS NOT NULL")
+    only = filled.groupBy("sentence").agg(F.min("filled").alias("filled"), F.max("filled").alias("other")).where("filled = other").select("sentence", "filled")
+    joined = joined.join(only, "sentence", "left").withColumn("sentence", F.coalesce("filled", "sentence"))
     return joined.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sentence"))), lambda x: x["sentence"]), "").alias("restored"))
 
 
+def fill(sentence: str, form: str) -> str | None:
+    """``sentence`` with its lost characters (replacement characters, question marks) taken from a form of the same shape; None if the rest differs."""
+    body = sentence.strip(" ")
+    a, b = re.split("([0-9]+)", body), re.split("([0-9]+)", form)
+    if [len(x) for x in a[::2]] != [len(x) for x in b[::2]]:
+        return None
+    out = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if i % 2:
+            out.append(x)
+            continue
+        if any(p != q and (p not in (_LOST, "?") or q.isascii()) for p, q in zip(x, y, strict=True)):
+            return None
+        out.append(y)
+    at = sentence.index(body)
+    return sentence[:at] + "".join(out) + sentence[at + len(body) :]
+
+
+@F.arrow_udf(T.StringType())
+def _fill(sentences: pa.Array, forms: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else fill(x, y) for x, y in zip(sentences.to_pylist(), forms.to_pylist(), strict=True)], pa.string())
+
+
 def merge(sentence: str, twin: str | None) -> str:
     """``sentence`` with the runs of ``twin`` in place of those that hold replacement characters."""
     if not twin or _LOST not in sentence:

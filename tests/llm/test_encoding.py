@@ -75,3 +75,20 @@ def test_every_twin_is_learned_from(spark):
     rows = [(200_000 + 10 * i + k, t) for i, r in enumerate(rare) for k, t in enumerate([r.clean, r.clean, r.bad])]
     df = common.unionByName(common).unionByName(bad).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {("utf-8", "cp1252"), ("utf-8", "mac_roman")} <= {(c.written, "cp1252" if c.read in ("latin-1", "cp1254") else c.read) for c in en.learn(df).conversions}
+
+
+def test_question_marks_are_restored_by_shape(spark):
+    lost = lambda t: "".join("?" if ch > "\x7f" else ch for ch in t)
+    other = "وقتی بچه‌ها خندیدند مربی همتا از خداحافظی دیرکرده گفت و اتاق سردتر شد."
+    rows = [(i, f"{FA[0]} {FA[1]}") for i in range(3)] + [(7, other), (8, lost(FA[0])), (9, f"{lost(FA[1])} {FA[0]}"), (10, FA[0].replace("خوابیدند مربی", lost("خوابیدند مربی"))), (11, "???? ?? ??? ناشناس.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lossy = en.damaged(df, repair=en.Repair([])).where("lossy")
+    got = {r.key: r.restored for r in en.from_twins(df, lossy, repair=en.Repair([])).collect()}
+    assert got == {8: FA[0], 9: f"{FA[1]} {FA[0]}", 10: FA[0], 11: "???? ?? ??? ناشناس."}
+
+
+def test_question_marks_stay_lossy(spark, tmp_path):
+    from quern.llm import catalog
+
+    spark.createDataFrame([(1, "???? ?? ??? ناشناس."), (2, "plain")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.lossy) for r in catalog.p8_restored(spark, str(tmp_path)).collect()] == [(1, True)]
