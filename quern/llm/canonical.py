@@ -118,24 +118,36 @@ def _tables() -> _Tables:
     return _Tables()
 
 
-def _expanded(points: np.ndarray, offsets: np.ndarray, at: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
+#: Code points, row offsets, and for each code point its place in the text that it comes from (None where nobody asks).
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray | None]
+
+
+def _kept(points: np.ndarray, offsets: np.ndarray, origin: np.ndarray | None, keep: np.ndarray) -> _Rows:
+    return *cp.select(points, offsets, keep), None if origin is None else origin[keep]
+
+
+def _expanded(points: np.ndarray, offsets: np.ndarray, origin: np.ndarray | None, at: np.ndarray, table: tuple) -> _Rows:
     keys, lengths, starts, pool = table
     k = np.searchsorted(keys, points[at])
-    return cp.expand(points, offsets, at, lengths[k], starts[k], pool)
+    if origin is not None:
+        sizes = np.ones(len(points), np.int64)
+        sizes[at] = lengths[k]
+        origin = np.repeat(origin, sizes)
+    return *cp.expand(points, offsets, at, lengths[k], starts[k], pool), origin
 
 
-def _composed(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _composed(points: np.ndarray, offsets: np.ndarray, origin: np.ndarray | None) -> _Rows:
     """Marks in canonical order, composed with their letters where a composed letter exists."""
     t = _tables()
     if not t.mark[points].any():
-        return points, offsets
+        return points, offsets, origin
     rows = cp.rows_of(offsets)
     before_mark = np.zeros(len(points), bool)
     before_mark[:-1] = (t.mark[points[1:]] > 0) & (rows[1:] == rows[:-1])
     at = np.flatnonzero(before_mark | (t.mark[points] > 0))
     at = at[np.isin(points[at], t.split[0])]
     if len(at):
-        points, offsets = _expanded(points, offsets, at, t.split)
+        points, offsets, origin = _expanded(points, offsets, origin, at, t.split)
         rows = cp.rows_of(offsets)
     rank = t.mark[points]
     marks = np.flatnonzero(rank > 0)
@@ -148,15 +160,15 @@ def _composed(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         hit = (t.pair_keys[k] == key) & (rows[1:] == rows[:-1]) & (t.mark[points[1:]] > 0) & (t.mark[points[:-1]] == 0)
         at = np.flatnonzero(hit)
         if not len(at):
-            return points, offsets
+            return points, offsets, origin
         points[at] = t.pair_values[k[at]]
         keep = np.ones(len(points), bool)
         keep[at + 1] = False
-        points, offsets = cp.select(points, offsets, keep)
+        points, offsets, origin = _kept(points, offsets, origin, keep)
         rows = cp.rows_of(offsets)
 
 
-def _hangul(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hangul(points: np.ndarray, offsets: np.ndarray, origin: np.ndarray | None) -> _Rows:
     """Conjoining letters of Hangul composed to syllables, by the arithmetic of the Unicode standard."""
     for first, count, second, others in ((0x1100, 19, 0x1161, 21), (0xAC00, 11172, 0x11A8, 27)):
         after = (points >= second) & (points < second + others)
@@ -172,8 +184,8 @@ def _hangul(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             points[at - 1] += points[at] - second + 1
         else:
             points[at - 1] = 0xAC00 + ((points[at - 1] - first) * 21 + points[at] - second) * 28
-        points, offsets = cp.select(points, offsets, ~fits)
-    return points, offsets
+        points, offsets, origin = _kept(points, offsets, origin, ~fits)
+    return points, offsets, origin
 
 
 def _neighbours(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,17 +200,21 @@ def _neighbours(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The canonical form of rows of code points."""
+    return _canonical_rows(points, offsets, None)[:2]
+
+
+def _canonical_rows(points: np.ndarray, offsets: np.ndarray, origin: np.ndarray | None) -> _Rows:
     t = _tables()
     if not len(points):
-        return points, offsets
+        return points, offsets, origin
     at = np.flatnonzero(t.many[points])
     if len(at):
-        points, offsets = _expanded(points, offsets, at, t.expansion)
+        points, offsets, origin = _expanded(points, offsets, origin, at, t.expansion)
     points = t.one[points]
     keep = points != _DROP
     if not keep.all():
-        points, offsets = cp.select(points, offsets, keep)
-    points, offsets = _composed(*_hangul(points, offsets))
+        points, offsets, origin = _kept(points, offsets, origin, keep)
+    points, offsets, origin = _composed(*_hangul(points, offsets, origin))
     # the composed letter may itself have a keyboard or look-alike form
     points = t.one[points]
     joiners = (points == _ZWNJ) | (points == _ZWJ)
@@ -206,11 +222,11 @@ def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         # of several joiners in a row the first counts
         before, _ = _neighbours(points, offsets)
         first = joiners & (before != _ZWNJ) & (before != _ZWJ)
-        points, offsets = cp.select(points, offsets, first | ~joiners)
+        points, offsets, origin = _kept(points, offsets, origin, first | ~joiners)
         before, after = _neighbours(points, offsets)
         inside = (points == _ZWNJ) & t.arabic[before] & t.arabic[after] & (before >= 0) & (after >= 0)
         emoji = (points == _ZWJ) & (before >= 0x2190) & (after >= 0x2190)
-        points, offsets = cp.select(points, offsets, (points != _ZWNJ) & (points != _ZWJ) | inside | emoji)
+        points, offsets, origin = _kept(points, offsets, origin, (points != _ZWNJ) & (points != _ZWJ) | inside | emoji)
     blank = t.blank[points]
     if blank.any():
         # of a run of blanks one is kept, a line break if there is one; none at the edges of a row
@@ -225,10 +241,10 @@ def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         points[first] = np.where(lines, _LINE, _BLANK)
         keep = ~blank
         keep[first] = True
-        points, offsets = cp.select(points, offsets, keep)
+        points, offsets, origin = _kept(points, offsets, origin, keep)
         before, after = _neighbours(points, offsets)
-        points, offsets = cp.select(points, offsets, ~(t.blank[points] & ((before < 0) | (after < 0))))
-    return points, offsets
+        points, offsets, origin = _kept(points, offsets, origin, ~(t.blank[points] & ((before < 0) | (after < 0))))
+    return points, offsets, origin
 
 
 def _touched(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -258,6 +274,21 @@ def canonical_arrow(texts: pa.Array) -> pa.Array:
     return cp.mapped(texts, canonical_points, _touched)
 
 
+def origins(text: str) -> np.ndarray:
+    """For each code point of a text's canonical form the place in ``text`` that it comes from; one entry more for the end."""
+    points, offsets = cp.decode(pa.array([text], pa.string()))
+    _, _, origin = _canonical_rows(points, offsets, np.arange(len(points)))
+    return np.r_[origin, len(points)]
+
+
+def covered(text: str, end: int) -> int:
+    """``end``, moved behind the marks and invisible characters that belong to the character before it."""
+    t = _tables()
+    while end < len(text) and (t.mark[ord(text[end])] or t.one[ord(text[end])] == _DROP):
+        end += 1
+    return end
+
+
 @F.arrow_udf(T.StringType())
 def _canonical(texts: pa.Array) -> pa.Array:
     return canonical_arrow(texts)

@@ -53,6 +53,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return messages.unionByName(pii.found(logs, "id", "reasoning", redactor).select(F.lit("reasoning").alias("field"), F.col("key").alias("record_id"), "pii_type"))
 
 
+def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each redacted text is the text itself, but for the placeholders."""
+    turns, logs, redactor = _redactor(spark, folder)
+    parts = []
+    for rows, key, text, field in ((turns, "turn_id", "user_message", "user_message"), (logs, "id", "reasoning", "reasoning")):
+        kinds = "|".join(pii.TYPES)
+        rest = F.regexp_replace(F.regexp_replace("redacted", r"\\E", r"\\E\\\\E\\Q"), rf"\[(?:{kinds})\]", r"\\E.+?\\Q")
+        kept = F.expr("raw RLIKE pattern") | F.col("raw").eqNullSafe(F.col("redacted"))
+        judged = pii.judged(rows, key, text, redactor).select("key", "raw", F.col("r.text").alias("redacted")).withColumn("pattern", F.concat(F.lit(r"(?s)^\Q"), rest, F.lit(r"\E$")))
+        parts.append(judged.select(F.lit(field).alias("field"), F.col("key").alias("record_id"), F.coalesce(kept, F.lit(False)).alias("kept")).distinct())
+    return parts[0].unionByName(parts[1])
+
+
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     turns, logs, redactor = _redactor(spark, folder)
     messages = pii.records(turns, "turn_id", "user_message", redactor).select(F.lit("user_message").alias("field"), F.col("key").alias("record_id"), "text", "types")
@@ -102,6 +115,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL: dict[str, str] = {
     "p6_found": "SELECT container_id, doc_id FROM container_specs, documents WHERE strlen(text) > capacity",
+    "p4_kept": "SELECT DISTINCT 'user_message' AS field, turn_id AS record_id, true AS kept FROM agent_turns UNION ALL SELECT DISTINCT 'reasoning', id, true FROM resilience_logs",
     "p7_found": """
 WITH sizes AS (SELECT lower(trim(source, ' ')) AS source, sum(coalesce(strlen(text), 0)) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1),
 wanted AS (
@@ -114,5 +128,5 @@ WHERE w > 0 AND (coalesce(n, 0) = 0 OR n * cap * whole < total * w)""",
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_canonical_messages, p2_classes, p4_found, p4_redacted, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
+    for f in (p2_found, p2_canonical_messages, p2_classes, p4_found, p4_redacted, p4_kept, p5_found, p6_found, p6_packed, p6_usage, p7_found, p7_mix, p7_shares, p8_found, p8_restored)
 }

@@ -8,7 +8,7 @@ import numpy as np
 
 
 #: Least and greatest threshold that calibration may choose.
-CUT_BOUNDS = 0.35, 0.6
+CUT_BOUNDS = 0.2, 0.55
 
 
 @dataclass
@@ -33,11 +33,11 @@ class Boosted:
         return 1 / (1 + np.exp(-score))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.2, ridge: float = 1.0, held_out: float = 0.25, seed: int = 0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, doubtful: np.ndarray | None = None, trees: int = 100, depth: int = 4, rate: float = 0.2, ridge: float = 1.0, held_out: float = 0.25, seed: int = 0) -> Boosted:
     """Log-loss boosting with exact splits on feature values (0 to 63); the threshold is calibrated on held-out rows.
 
     Held-out probabilities are averaged in equal-sized bins, made monotone (isotonic), and the cut is the lowest
-    score at which a candidate is more likely right than wrong.
+    score at which a candidate is more likely right than wrong. ``doubtful`` marks rows that calibration leaves out.
     """
     x = x.clip(0, 63).astype(np.int64)
     order = np.random.default_rng(seed).permutation(len(x))
@@ -50,6 +50,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     base = float(np.log(share / (1 - share)))
     score = np.full(len(xt), base)
     inner = 2**depth - 1
+    width = x.shape[1]
+    slots = xt + 64 * np.arange(width)
     fs, ts, vs = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
@@ -61,13 +63,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
             best = 1e-6
             if len(rows) > 1:
                 gs, hs = g[rows].sum(), h[rows].sum()
-                for j in range(x.shape[1]):
-                    gl = np.bincount(xt[rows, j], g[rows], 64).cumsum()[:-1]
-                    hl = np.bincount(xt[rows, j], h[rows], 64).cumsum()[:-1]
-                    gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                    i = int(gain.argmax())
-                    if gain[i] > best:
-                        best, f[k], t[k] = gain[i], j, i
+                # one histogram for all features
+                at = slots[rows].ravel()
+                gl = np.bincount(at, np.repeat(g[rows], width), 64 * width).reshape(width, 64).cumsum(1)[:, :-1]
+                hl = np.bincount(at, np.repeat(h[rows], width), 64 * width).reshape(width, 64).cumsum(1)[:, :-1]
+                gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
+                j, i = np.unravel_index(int(gain.argmax()), gain.shape)
+                if gain[j, i] > best:
+                    best, f[k], t[k] = gain[j, i], j, i
             node[rows] = 2 * k + 1 + (xt[rows, f[k]] > t[k])
         leaf = node - inner
         gl, hl = np.bincount(leaf, g, inner + 1), np.bincount(leaf, h, inner + 1)
@@ -78,6 +81,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
         vs.append(v)
     model = Boosted(np.array(fs), np.array(ts), np.array(vs), base)
     if len(out):
+        out = out if doubtful is None else out[~doubtful[out]]
         model.cut = calibrated_cut(model.probability(x[out]), y[out].astype(float))
     return model
 
