@@ -31,11 +31,13 @@ from quern.llm.canonical import canonical_arrow
 LANGUAGE_SAMPLE = 300
 #: Languages below this share of the labelled texts are not modelled.
 LANGUAGE_SHARE = 0.01
-_TRIGRAM_BITS, _ORDERS = 15, (4, 8, 16)
+_TRIGRAM_BITS, _ORDERS = 15, (1, 4, 8, 16)
 #: Letters that a text needs for its language to be judged, and log-odds per text to call it another one.
 MIN_LETTERS, MIN_LOG_ODDS = 20, 15.0
-#: End-of-text likelihood below which a response breaks off.
-MIN_END = 0.12
+#: A response breaks off where its last characters are less than this many times likelier at an end than elsewhere.
+MIN_RATIO = 8.0
+#: N-grams sent to a task at once, 8 bytes each.
+BLOCK_GRAMS = 8_000_000
 #: Letters and digits of a prompt that can be copied at all, and of the words that may lead in a copy.
 MIN_COPIED, MAX_LEAD_IN = 12, 40
 
@@ -138,20 +140,26 @@ def _trimmed(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, r"(?:[\s\x{A0}\x{200B}-\x{200F}\x{2060}\x{FEFF}*_#`~|,;،؛…]|\.{2,})+$", "")
 
 
+@F.arrow_udf(T.StringType())
+def _trim(texts: pa.Array) -> pa.Array:
+    return _trimmed(texts).cast(pa.string())
+
+
 def _suffixes(points: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each order the 64-bit hash of the n-gram that ends at each position, and whether it lies inside its row."""
     h = _folds()[1][points].astype(np.uint64)
     place = np.arange(len(points)) - np.repeat(offsets[:-1], np.diff(offsets))
     out, base, n = {}, np.uint64(0x9E3779B97F4A7C15), 1
     with np.errstate(over="ignore"):
-        while n < _ORDERS[-1]:
-            longer = h.copy()
-            longer[n:] += h[:-n] * base
-            h, base, n = longer, base * base, 2 * n
+        while True:
             if n in _ORDERS:
                 mixed = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
                 out[n] = (mixed ^ mixed >> np.uint64(32), place >= n - 1)
-    return out
+            if n >= _ORDERS[-1]:
+                return out
+            longer = h.copy()
+            longer[n:] += h[:-n] * base
+            h, base, n = longer, base * base, 2 * n
 
 
 class Grams:
@@ -183,100 +191,84 @@ class Grams:
         return at[same], place[same]
 
 
-@dataclass
-class Endings:
-    """How often each n-gram that ends a text does so, and how often it occurs at all."""
-
-    grams: dict[int, Grams]
-    ends: dict[int, np.ndarray]
-    places: dict[int, np.ndarray]
+def _last_grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``order, rows, hashes``: the n-grams that end the texts, by the texts' last characters only."""
+    done = 0
+    for block in cp.blocks(pc.utf8_slice_codeunits(texts, -_ORDERS[-1])):
+        points, offsets = cp.decode(block)
+        rows = np.flatnonzero(offsets[1:] > offsets[:-1])
+        last = offsets[1:][rows] - 1
+        for n, (hashes, inside) in _suffixes(points, offsets).items():
+            whole = inside[last]
+            yield n, done + rows[whole], hashes[last][whole].view(np.int64)
+        done += len(block)
 
-    def likelihood(self, texts: pa.Array) -> np.ndarray:
-        """End-of-text likelihood of each text's last characters, longer n-grams counting more where they are frequent.
 
-        The texts are taken to be among those counted: each one's own end is left out.
-        """
-        parts = []
-        for block in cp.blocks(_trimmed(texts)):
-            points, offsets = cp.decode(block)
-            # only the last characters are needed
-            first = np.maximum(offsets[:-1], offsets[1:] - _ORDERS[-1])
-            keep = np.ones(len(points), np.int64)
-            starts = np.zeros(len(points) + 1, np.int64)
-            np.add.at(starts, offsets[:-1], 1)
-            np.add.at(starts, first, -1)
-            keep = np.cumsum(starts[:-1]) == 0
-            points, offsets = cp.select(points, offsets, keep)
-            p = np.full(len(offsets) - 1, 0.5)
-            full = offsets[1:] > offsets[:-1]
-            last = offsets[1:][full] - 1
-            for n, (hashes, inside) in _suffixes(points, offsets).items():
-                at, place = self.grams[n].find(hashes[last])
-                seen, ended = np.zeros(len(last)), np.zeros(len(last))
-                seen[at], ended[at] = np.maximum(self.places[n][place] - 1, 0), np.maximum(self.ends[n][place] - 1, 0)
-                weight = np.where(inside[last], seen / (seen + 10.0), 0.0)
-                p[full] = weight * ended / np.maximum(seen, 1) + (1 - weight) * p[full]
-            parts.append(p)
-        return np.concatenate(parts) if parts else np.zeros(0)
-
-
-def _trim(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([_trimmed(batch.column(0)).cast(pa.string())], ["text"])
-
+        for n, _, hashes in _last_grams(batch.column(0)):
+            own = np.unique(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own)], ["n", "gram"])
 
-def _distinct(texts: DataFrame, text: str) -> DataFrame:
-    """Each text once, without what may follow a broken end."""
-    return texts.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_trim, "text string").distinct()
 
+def _keyed_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, rows, hashes in _last_grams(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), n, np.int32)), pa.array(hashes)], ["digest", "n", "gram"])
 
-def fit_endings(texts: DataFrame, text: str) -> Endings:
-    """N-gram counts over all distinct texts; copies of a text do not vouch for each other.
 
-    Only n-grams that end some text are counted. Of those, the ones that occur once come to the driver
-    as a hash only: with a text's own end left out, nothing is known of them.
-    """
-    last = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_last_grams, "n int, gram long").distinct().toPandas()
-    grams = {n: Grams(last["gram"][last["n"] == n].to_numpy(np.int64).view(np.uint64)) for n in _ORDERS}
+def _counted(texts: DataFrame, grams: dict[int, Grams]) -> DataFrame:
+    """``n, gram, ends, places`` of the given n-grams over all ``texts`` (one row each)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count_suffixes(batches, grams)
-
-    rows = _distinct(texts, text).mapInArrow(count, "n int, gram long, ends long, places long").groupBy("n", "gram").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
-    found = rows.where("places > 1").toPandas()
-    kept, ends, places = {}, {}, {}
+        places, ends = ({n: np.zeros(len(g.hashes), np.int64) for n, g in grams.items()} for _ in range(2))
+        for batch in batches:
+            for block in cp.blocks(batch.column(0)):
+                points, offsets = cp.decode(block)
+                last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+                for n, (hashes, inside) in _suffixes(points, offsets).items():
+                    size = len(grams[n].hashes)
+                    places[n] += np.bincount(grams[n].find(hashes[inside])[1], minlength=size)
+                    ends[n] += np.bincount(grams[n].find(hashes[last][inside[last]])[1], minlength=size)
+        for n, g in grams.items():
+            at = np.flatnonzero(places[n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(g.hashes[at].view(np.int64)), pa.array(ends[n][at]), pa.array(places[n][at])], ["n", "gram", "ends", "places"])
+
+    rows = texts.select("text").mapInArrow(count, "n int, gram long, ends long, places long")
+    return rows.groupBy("n", "gram").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places"))
+
+
+def end_ratios(texts: DataFrame, text: str, block: int = BLOCK_GRAMS) -> DataFrame:
+    """``digest, ratio``: for each distinct text how much likelier its last characters are at the end of a text than inside one.
+
+    Counted exactly over all distinct texts (without what may follow a broken end; ``digest`` is the md5
+    of that): copies of a text do not vouch for each other, and each text's own end is left out. Longer
+    n-grams count more where they are frequent; characters never seen elsewhere speak for
+    an end. As the ratio is relative to the length of texts, it does not depend on how many sentences they have or
+    how many texts there are. Empty texts have no row.
+
+    The n-grams that end some text are sent to the tasks that count them, ``block`` at a time: more of
+    them mean more passes over the texts, not more memory.
+    """
+    shown = texts.select(_trim(F.col(text)).alias("text")).where("text != ''")
+    grams = shown.mapInArrow(_grams_of, "n int, gram long").distinct()
+    once = shown.distinct()
+    first = grams.limit(block + 1).toPandas()
+    parts = [first]
+    if len(first) > block:
+        n = -(-grams.count() // (block // 2))
+        parts = (grams.where(F.pmod("gram", F.lit(n)) == k).toPandas() for k in range(n))
+    counts = functools.reduce(DataFrame.unionByName, (_counted(once, {n: Grams(part["gram"][part["n"] == n].to_numpy(np.int64).view(np.uint64)) for n in _ORDERS}) for part in parts))
+    length = shown.agg(F.avg(F.length("text"))).first()[0] or 1.0
+    own = once.select(F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_keyed_grams, "digest binary, n int, gram long")
+    # an n-gram that occurs in one text only tells nothing about it
+    met = own.join(counts.where("places > 1"), ["n", "gram"], "left")
+    per = met.groupBy("digest").agg(*[F.max(F.when(F.col("n") == n, F.col(c) - 1)).cast("double").alias(f"{c}{n}") for n in _ORDERS for c in ("ends", "places")])
+    p = F.lit(0.5)
     for n in _ORDERS:
-        own = found[found["n"] == n]
-        hashes = own["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        kept[n] = Grams(hashes)
-        ends[n], places[n] = (own[c].to_numpy(np.float64)[order] for c in ("ends", "places"))
-    return Endings(kept, ends, places)
-
-
-def _last_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in cp.blocks(_trimmed(batch.column(0))):
-            points, offsets = cp.decode(block)
-            last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-            for n, (hashes, inside) in _suffixes(points, offsets).items():
-                own = np.unique(hashes[last][inside[last]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own.view(np.int64))], ["n", "gram"])
-
-
-def _count_suffixes(batches: Iterable[pa.RecordBatch], grams: dict[int, Grams]) -> Iterator[pa.RecordBatch]:
-    places, ends = ({n: np.zeros(len(g.hashes), np.int64) for n, g in grams.items()} for _ in range(2))
-    for batch in batches:
-        for block in cp.blocks(batch.column(0)):
-            points, offsets = cp.decode(block)
-            last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-            for n, (hashes, inside) in _suffixes(points, offsets).items():
-                size = len(grams[n].hashes)
-                places[n] += np.bincount(grams[n].find(hashes[inside])[1], minlength=size)
-                ends[n] += np.bincount(grams[n].find(hashes[last][inside[last]])[1], minlength=size)
-    for n, g in grams.items():
-        at = np.flatnonzero(places[n])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(g.hashes[at].view(np.int64)), pa.array(ends[n][at]), pa.array(places[n][at])], ["n", "gram", "ends", "places"])
+        ends, seen = (F.coalesce(F.col(f"{c}{n}"), F.lit(0.0)) for c in ("ends", "places"))
+        p = (ends + 10 * p) / (seen + 10)
+    return per.select("digest", (p / (1 - p + 1e-9) * length).alias("ratio"))
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -292,8 +284,8 @@ def is_copy(prompt: str, response: str) -> bool:
     return len(r) <= MAX_LEAD_IN
 
 
-def defects(prompts: pa.Array, responses: pa.Array, notices: pa.Array, languages: Languages, endings: Endings) -> pa.Array:
-    """The defect of each pair, or null. ``notices`` marks turns whose fixed notice is no defect in any language."""
+def defects(prompts: pa.Array, responses: pa.Array, languages: Languages) -> tuple[pa.Array, np.ndarray]:
+    """For each pair the defect that shows in itself (empty, copy, refusal, or null), and whether its languages differ."""
     out = np.full(len(responses), None, object)
     answers = responses.fill_null("")
     written = pc.match_substring_regex(answers, r"[\p{L}\p{N}]").to_numpy(zero_copy_only=False)
@@ -312,45 +304,48 @@ def defects(prompts: pa.Array, responses: pa.Array, notices: pa.Array, languages
         c, d = (canonical_arrow(pc.utf8_lower(x)).to_pylist() for x in sides)
         out[at[[is_copy(*x) or is_copy(*y) for x, y in zip(zip(a, b, strict=True), zip(c, d, strict=True), strict=True)]]] = "copy"
 
-    open_ = np.array([x is None for x in out])
+    open_ = np.array([x is None for x in out], bool)
     own = pc.replace_substring_regex(answers, _QUOTED, " ")
     refused = pc.match_substring_regex(own, _REFUSED).to_numpy(zero_copy_only=False)
     out[open_ & refused] = "refusal"
-    open_ &= ~refused
-    # a fixed notice is one text, however often it was sent: its ending has no others to vouch for it
-    open_ &= ~notices.fill_null(False).to_numpy(zero_copy_only=False)
-    broken_off = open_ & (endings.likelihood(answers) < MIN_END)
-    out[broken_off] = "truncated"
-
-    open_ &= ~broken_off
-    at = np.flatnonzero(open_)
+    at = np.flatnonzero(open_ & ~refused)
+    other = np.zeros(len(responses), bool)
     if len(at):
         p, p_letters = languages.scores(canonical_arrow(asked.take(pa.array(at))))
         r, r_letters = languages.scores(own.take(pa.array(at)))
         of_prompt, of_response = p.argmax(1), r.argmax(1)
         k = np.arange(len(at))
         sure = np.minimum(p[k, of_prompt] - p[k, of_response], r[k, of_response] - r[k, of_prompt]) >= MIN_LOG_ODDS
-        out[at[sure & (p_letters >= MIN_LETTERS) & (r_letters >= MIN_LETTERS)]] = "other_language"
-    return pa.array(out, pa.string())
+        other[at] = sure & (p_letters >= MIN_LETTERS) & (r_letters >= MIN_LETTERS)
+    return pa.array(out, pa.string()), other
+
+
+_SHOWN = T.StructType([T.StructField("defect", T.StringType()), T.StructField("other", T.BooleanType())])
 
 
-def defect(prompt: Column, response: Column, notice: Column, languages: Languages, endings: Endings) -> Column:
+def _shown(prompt: Column, response: Column, languages: Languages) -> Column:
     """Column form of defects()."""
 
-    @F.arrow_udf(T.StringType())
-    def judge(prompts: pa.Array, responses: pa.Array, notices: pa.Array) -> pa.Array:
-        return defects(prompts, responses, notices, languages, endings)
+    @F.arrow_udf(_SHOWN)
+    def judge(prompts: pa.Array, responses: pa.Array) -> pa.Array:
+        found, other = defects(prompts, responses, languages)
+        return pa.StructArray.from_arrays([found, pa.array(other)], ["defect", "other"])
 
-    return judge(prompt, response, notice)
+    return judge(prompt, response)
 
 
 def broken(turns: DataFrame, labelled: DataFrame, key: str, prompt: str, response: str, notice: Column) -> DataFrame:
     """``key, defect`` of every defective pair, one of empty, copy, refusal, truncated, other_language (in this order).
 
     A null response is empty; a null, empty or very short prompt can neither be copied nor have
-    another language. ``notice`` marks pairs with a fixed notice. Repeated rows give one row. ``labelled``
+    another language. ``notice`` marks pairs with a fixed notice, which neither breaks off nor has a wrong language. Repeated rows give one row. ``labelled``
     has ``text`` and ``lang``; where it is empty no language is judged.
     """
-    languages, endings = fit_languages(labelled), fit_endings(turns, response)
-    rows = turns.select(F.col(key).alias("key"), defect(F.col(prompt), F.col(response), notice, languages, endings).alias("defect"))
-    return rows.where("defect IS NOT NULL").distinct()
+    languages = fit_languages(labelled)
+    cut = end_ratios(turns, response).where(F.col("ratio") < MIN_RATIO).select("digest", F.lit(True).alias("cut"))
+    digest = F.unhex(F.md5(_trim(F.col(response))))
+    rows = turns.select(F.col(key).alias("key"), F.coalesce(notice, F.lit(False)).alias("notice"), digest.alias("digest"), _shown(F.col(prompt), F.col(response), languages).alias("s"))
+    # texts stay where they are: from here on a row is a few numbers
+    rows = rows.select("key", "notice", "digest", "s.defect", "s.other").join(cut, "digest", "left")
+    later = F.when(F.col("notice"), None).when(F.col("cut"), "truncated").when(F.col("other"), "other_language")
+    return rows.select("key", F.coalesce("defect", later).alias("defect")).where("defect IS NOT NULL").distinct()

@@ -1,6 +1,8 @@
+import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import pairs
@@ -66,24 +68,45 @@ def test_copies_do_not_vouch(spark):
     assert {(x.key, x.defect) for x in got} == {(1000 + i, "truncated") for i in range(600)}
 
 
-def test_counts_are_exact(spark):
-    """Rare sound endings keep their likelihood among a million other n-grams."""
-    import pyarrow as pa
+def brute(texts, i):
+    """The ratio of text ``i`` by counting in all others."""
+    whole, p = "\n".join(texts), 0.5
+    for n in (1, 4, 8, 16):
+        gram = texts[i][-n:]
+        places = len(re.findall(f"(?={re.escape(gram)})", whole)) - 1
+        ends = sum(t.endswith(gram) for t in texts) - 1
+        p = (ends + 10 * p) / (places + 10)
+    return p / (1 - p) * sum(map(len, texts)) / len(texts)
 
+
+def test_counts_are_exact(spark):
+    """Ratios equal those of a brute-force count, in one pass and in many."""
     r = random.Random(4)
-    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
-    ends = [word(16) for _ in range(50)]
-    texts = [f"{word(1500)} {end}" for end in ends for _ in range(12)]
-    model = pairs.fit_endings(spark.createDataFrame([(x,) for x in texts], "a string"), "a")
-    whole = "\n".join(texts)
-
-    def want(end):
-        p = 0.5
-        for n in (4, 8, 16):
-            places = len(re.findall(f"(?={end[-n:]})", whole)) - 1
-            p = (11 + 10 * p) / (places + 10)
-        return p
-
-    got = model.likelihood(pa.array(texts))
-    assert max(abs(p - want(t[-16:])) for p, t in list(zip(got, texts, strict=True))[::12]) < 1e-9
-    assert (model.places[16] == 12).all() and len(model.places[16]) == 50
+    word = lambda k: "".join(r.choice("abcdefghij") for _ in range(k))
+    ends = [word(16) for _ in range(20)]
+    texts = [f"{word(r.randint(20, 400))} {r.choice(ends)}" for _ in range(150)]
+    df = spark.createDataFrame([(t + x,) for t in texts for x in ("", " **")] + [(None,), ("",), ("  ",)], "a string")
+    want = {hashlib.md5(t.encode()).digest(): brute(texts, i) for i, t in enumerate(texts)}
+    for block in (pairs.BLOCK_GRAMS, 200):
+        got = {bytes(x.digest): x.ratio for x in pairs.end_ratios(df, "a", block).collect()}
+        assert set(got) == set(want)
+        assert max(abs(got[k] / want[k] - 1) for k in want) < 1e-6
+
+
+@pytest.mark.parametrize(("texts", "sentences"), [(2_000, 3), (2_000, 12), (20_000, 6), (20_000, 12)])
+def test_unrepeated_texts_of_any_number(spark, texts, sentences):
+    """No sentence twice, one answer in ten cut somewhere: what is complete stays so, however many answers there are."""
+    r = random.Random(texts + sentences)
+    words = ["".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") for _ in range(r.randint(1, 3))) + r.choice(["", "n", "s", "r"]) for _ in range(3_000)]
+    rows, cut = [], set()
+    for i in range(texts):
+        made = " ".join(" ".join(r.choices(words, k=r.randint(5, 14))).capitalize() + r.choice([".", ".", ".", "!", "?"]) for _ in range(sentences))
+        if r.random() < 0.1:
+            at = r.randint(len(made) // 3, len(made) - 6)
+            if made[at - 1] not in ".!? ":
+                made = made[:at]
+                cut.add(hashlib.md5(made.encode()).digest())
+        rows.append((made,))
+    got = {bytes(x.digest) for x in pairs.end_ratios(spark.createDataFrame(rows, "a string").repartition(8), "a").where(F.col("ratio") < pairs.MIN_RATIO).collect()}
+    assert len(got & cut) >= 0.9 * len(cut), (len(got & cut), len(cut))
+    assert len(got - cut) <= 0.02 * texts, (len(got - cut), texts)
