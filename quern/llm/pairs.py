@@ -1,6 +1,6 @@
 """Defects of prompt and response pairs (problem 5).
 
-Two models are trained from the tables at hand. A naive Bayes model over character trigrams,
+Refusals are told by a linear model over word n-grams (refusals.py). Two models are trained from the tables at hand. A naive Bayes model over character trigrams,
 counted per labelled language, gives the language posteriors of prompt and response; a full answer
 whose posterior favours another language than the prompt's is a defect. N-grams of characters are
 counted over all distinct responses, at the end of a text and anywhere: an ending whose n-grams mostly go on
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import codepoints as cp
+from quern.llm import refusals
 from quern.llm.canonical import canonical_arrow
 
 #: Labelled texts per language that the language model is fitted on (a bounded sample, chosen by hash).
@@ -41,15 +42,8 @@ BLOCK_GRAMS = 8_000_000
 #: Letters and digits of a prompt that can be copied at all, and of the words that may lead in a copy.
 MIN_COPIED, MAX_LEAD_IN = 12, 40
 
-_QUOTED = r"[“„«][^“”„«»]*[”“»]|\"[^\"]*\""
-# Phrases in which an answer is declined, in the languages of the responses.
-REFUSALS = {
-    "en": r"(?:must|have to) decline|won't be answering|(?:can't|cannot|not able to|unable to) (?:help|assist|answer|discuss|comment)|isn't something I'm able to|question unanswered|no (?:guidance|advice|answer) (?:can be|is|I am)|rather not (?:go into|discuss)|off limits|outside (?:of )?(?:what I handle|my role|my scope)|not (?:permitted|allowed) to|I am permitted to give",
-    "de": r"(?:kann|darf|werde|möchte) ich (?:leider )?nichts? (?:helfen|sagen|antworten|beantworten)|lehne eine Antwort ab|muss (?:das|eine Antwort) ablehnen|keine (?:Auskunft|Antwort|Beratung) möglich|außerhalb meiner Aufgaben|gehe ich lieber nicht ein",
-    "fr": r"ne peux pas (?:t'|vous |l')?(?:aider|répondre|en parler)|n'ai pas le droit d|préfère ne pas|dois (?:refuser|décliner)|aucun conseil n'est possible|sort de ce que je traite",
-    "fa": r"نمی\x{200C}توانم کمکی|معذورم|جواب نخواهم داد|برای من ممنوع|بی\x{200C}جواب بگذارم|اجازه\x{200C}ی صحبت|که مجاز باشم|از حیطه\x{200C}ی من|وارد این بحث نشوم",
-}
-_REFUSED = "(?i)" + "|".join(f"(?:{p})" for p in REFUSALS.values())
+#: What is said by others; a broken answer may end inside a quotation.
+_QUOTED = r"[“„«][^“”„«»]*(?:[”“»]|$)|\"[^\"]*(?:\"|$)"
 
 
 @functools.cache
@@ -284,7 +278,7 @@ def is_copy(prompt: str, response: str) -> bool:
     return len(r) <= MAX_LEAD_IN
 
 
-def defects(prompts: pa.Array, responses: pa.Array, languages: Languages) -> tuple[pa.Array, np.ndarray]:
+def defects(prompts: pa.Array, responses: pa.Array, languages: Languages, refusal: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """For each pair the defect that shows in itself (empty, copy, refusal, or null), and whether its languages differ."""
     out = np.full(len(responses), None, object)
     answers = responses.fill_null("")
@@ -306,7 +300,7 @@ def defects(prompts: pa.Array, responses: pa.Array, languages: Languages) -> tup
 
     open_ = np.array([x is None for x in out], bool)
     own = pc.replace_substring_regex(answers, _QUOTED, " ")
-    refused = pc.match_substring_regex(own, _REFUSED).to_numpy(zero_copy_only=False)
+    refused = refusals.refuses(own, refusal)
     out[open_ & refused] = "refusal"
     at = np.flatnonzero(open_ & ~refused)
     other = np.zeros(len(responses), bool)
@@ -323,12 +317,12 @@ def defects(prompts: pa.Array, responses: pa.Array, languages: Languages) -> tup
 _SHOWN = T.StructType([T.StructField("defect", T.StringType()), T.StructField("other", T.BooleanType())])
 
 
-def _shown(prompt: Column, response: Column, languages: Languages) -> Column:
+def _shown(prompt: Column, response: Column, languages: Languages, refusal: np.ndarray) -> Column:
     """Column form of defects()."""
 
     @F.arrow_udf(_SHOWN)
     def judge(prompts: pa.Array, responses: pa.Array) -> pa.Array:
-        found, other = defects(prompts, responses, languages)
+        found, other = defects(prompts, responses, languages, refusal)
         return pa.StructArray.from_arrays([found, pa.array(other)], ["defect", "other"])
 
     return judge(prompt, response)
@@ -341,10 +335,10 @@ def broken(turns: DataFrame, labelled: DataFrame, key: str, prompt: str, respons
     another language. ``notice`` marks pairs with a fixed notice, which neither breaks off nor has a wrong language. Repeated rows give one row. ``labelled``
     has ``text`` and ``lang``; where it is empty no language is judged.
     """
-    languages = fit_languages(labelled)
+    languages, refusal = fit_languages(labelled), refusals.model(refusals.plain_clauses(labelled, "text"))
     cut = end_ratios(turns, response).where(F.col("ratio") < MIN_RATIO).select("digest", F.lit(True).alias("cut"))
     digest = F.unhex(F.md5(_trim(F.col(response))))
-    rows = turns.select(F.col(key).alias("key"), F.coalesce(notice, F.lit(False)).alias("notice"), digest.alias("digest"), _shown(F.col(prompt), F.col(response), languages).alias("s"))
+    rows = turns.select(F.col(key).alias("key"), F.coalesce(notice, F.lit(False)).alias("notice"), digest.alias("digest"), _shown(F.col(prompt), F.col(response), languages, refusal).alias("s"))
     # texts stay where they are: from here on a row is a few numbers
     rows = rows.select("key", "notice", "digest", "s.defect", "s.other").join(cut, "digest", "left")
     later = F.when(F.col("notice"), None).when(F.col("cut"), "truncated").when(F.col("other"), "other_language")

@@ -26,7 +26,7 @@ def test_defects(spark):
     for i, (kind, change) in enumerate(
         [
             ("empty", lambda q, a: None), ("empty", lambda q, a: " …​"), ("copy", lambda q, a: q), ("copy", lambda q, a: f"Your message: {q.upper()} {q}"), ("copy", lambda q, a: "“" + q.replace("e", "е") + "”"),
-            ("refusal", lambda q, a: "I'm sorry to hear that. I must decline."), ("truncated", lambda q, a: a[: len(a) // 2 - 3]), ("truncated", lambda q, a: a[:40].rstrip() + " **"), ("", lambda q, a: f"You said “{q[:30]}”. " + a),
+            ("refusal", lambda q, a: "I'm sorry to hear that. I must decline to answer."), ("truncated", lambda q, a: a[: len(a) // 2 - 3]), ("truncated", lambda q, a: a[:40].rstrip() + " **"), ("", lambda q, a: f"You said “{q[:30]}”. " + a),
         ]
     ):
         rows[i][2] = change(rows[i][1], rows[i][2])
@@ -110,3 +110,27 @@ def test_unrepeated_texts_of_any_number(spark, texts, sentences):
     got = {bytes(x.digest) for x in pairs.end_ratios(spark.createDataFrame(rows, "a string").repartition(8), "a").where(F.col("ratio") < pairs.MIN_RATIO).collect()}
     assert len(got & cut) >= 0.9 * len(cut), (len(got & cut), len(cut))
     assert len(got - cut) <= 0.02 * texts, (len(got - cut), texts)
+
+
+FRESH = {
+    "Sorry, I can't discuss this one": 1, "I do not feel comfortable responding to that request": 1, "I won't be giving any opinion here": 1, "That is not something I'm allowed to talk about": 1, "I'm unable to provide medical advice": 1, "My rules don't let me answer this": 1,
+    "Darüber möchte ich nicht sprechen": 1, "Hierzu kann ich keine Auskunft erteilen": 1, "Ich darf dir dazu nicht raten": 1, "Meine Vorgaben lassen keine Antwort zu": 1, "Je ne suis pas en mesure de vous aider": 1, "Je ne peux pas discuter de ce sujet": 1, "Il m'est défendu de répondre": 1,
+    "از جواب دادن معذورم": 1, "نمی‌توانم در این باره صحبت کنم": 1, "اجازه ندارم پاسخ بدهم": 1,
+    "I'd rather not discuss money with your boss; try a short note first": 0, "I cannot promise it will pass tonight": 0, "I can't imagine how tired you must be": 0, "Your request sounds reasonable": 0, "Tell her you can't come": 0, "You are allowed to say no": 0, "Some letters can wait for an answer": 0,
+    "Du kannst heute nicht alles lösen": 0, "Ich weiß nicht, wie sich das anfühlt": 0, "Frag morgen noch einmal": 0, "Tu ne peux pas tout porter": 0, "Je ne sais pas à quoi ressemble ta nuit": 0, "Demande un avis au médecin": 0, "امشب نمی‌توانی همه را حل کنی": 0, "فردا جواب نامه را بده": 0, "خسته شدی و حق داری": 0,
+}
+
+
+def test_refusals_apart_from_the_grammar(spark):
+    """Sentences written by hand: at least three in four refusals found, at most one in four others taken for one."""
+    import pyarrow as pa
+
+    from quern.llm import refusals
+
+    labelled = spark.createDataFrame([(" ".join(EN),), (" ".join(DE),), (None,)], "text string")
+    w = refusals.model(refusals.plain_clauses(labelled, "text"))
+    got = dict(zip(FRESH, refusals.refuses(pa.array(list(FRESH)), w).tolist(), strict=True))
+    found = sum(got[t] for t, k in FRESH.items() if k)
+    wrong = sum(got[t] for t, k in FRESH.items() if not k)
+    assert found >= 0.75 * sum(FRESH.values()) and wrong <= 4, (found, wrong, [t for t, k in FRESH.items() if got[t] != k])
+    assert refusals.refuses(pa.array([None, "", " ", "x" * 100_000], pa.string()), w).tolist() == [False] * 4
