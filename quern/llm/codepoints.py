@@ -81,6 +81,26 @@ def expand(points: np.ndarray, offsets: np.ndarray, at: np.ndarray, lengths: np.
     return out, before[offsets]
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the code points of each span, the same wherever the span stands."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        power, back = np.full(len(points), _ODD), np.full(len(points), _INVERSE)
+        power[0] = back[0] = 1
+        np.cumprod(power, out=power)
+        np.cumprod(back, out=back)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+        h = (total[ends] - total[starts]) * back[starts]
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
 def rows_with(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which rows hold any of the positions ``at``."""
     found = np.zeros(len(offsets) - 1, bool)

@@ -1,9 +1,10 @@
 """Text decoded with a wrong character set: find it and undo it (problem 8).
 
 Learning: sentences are joined with near-twins on their text stripped of non-ASCII characters.
-Where two twins differ, the runs between the same ASCII characters are aligned, and a wrong
-conversion (written as one charset, read as another) is accepted as the cause if it turns the one
-into the other character by character. The aligned characters become the learned mapping.
+Where two twins differ, the runs between the same ASCII characters are aligned character by
+character: what stands for what becomes the learned mapping. Where one wrong conversion (written as
+one charset, read as another) explains aligned characters, it extends the mapping to characters
+that no twins showed; aligned characters that no known charset explains are a mapping of their own.
 
 Applying: the learned mappings are then run over every text, each up to three times (text can be
 damaged twice). What remains with replacement characters or question marks in place of letters has
@@ -16,7 +17,7 @@ import functools
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,11 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import codepoints as cp
+
 #: Charsets that a text may have been written or read in by mistake; where several explain the same, the first is taken.
 CHARSETS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp1257", "cp437", "cp850", "mac_roman", "koi8-r", "iso8859-6")
 #: Aligned characters that a conversion must explain before it is applied, and how many of them must differ.
 MIN_EXPLAINED, MIN_DISTINCT = 6, 2
+#: Occurrences that an aligned character needs where no charset explains it.
+MIN_ALIGNED = 3
 PASSES = 3
+ALIGNED = "aligned"
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = "�"
@@ -79,6 +85,25 @@ def _plausible(ch: str) -> bool:
     return 0x2010 <= c < 0x2040 or c in (0x20AC, 0x2116, 0x2122, 0x2212, 0x2022)
 
 
+def align(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """What stands for each character of the runs that differ, without any charset: ``piece, character``.
+
+    A run of one character is its whole counterpart; in longer runs all characters have pieces of one
+    length. Runs that cannot be cut so tell nothing. Only a side with characters out of
+    place can be damaged.
+    """
+    a, b = _RUN.findall(garbled), _RUN.findall(clean)
+    runs = [(x, y) for x, y in zip(a, b, strict=False) if x != y] if len(a) == len(b) else []
+    if all(_plausible(ch) for x, _ in runs for ch in x):
+        return []
+    pairs = []
+    for x, y in runs:
+        each, rest = divmod(len(x), len(y))
+        if not rest:
+            pairs += [(x[each * i : each * (i + 1)], ch) for i, ch in enumerate(y)]
+    return [(g, c) for g, c in pairs if _plausible(c)]
+
+
 def explain(garbled: str, clean: str) -> Iterator[tuple[str, str, list[tuple[str, str, bool]]]]:
     """Conversions that turn ``clean`` into ``garbled``, with the aligned characters of the runs that differ.
 
@@ -120,7 +145,7 @@ class Conversion:
 
     written: str
     read: str
-    #: Aligned characters (garbled: clean) that the twins showed.
+    #: Aligned characters (garbled: clean) that the twins showed; they go before what a charset would make of a text.
     seen: dict[str, str] = field(default_factory=dict)
     #: Characters seen in clean twins, beside the plausible ones.
     alphabet: frozenset[str] = frozenset()
@@ -128,6 +153,16 @@ class Conversion:
     words: Mapping[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        pieces = "|".join(map(re.escape, sorted(self.seen, key=len, reverse=True))) or "(?!)"
+        self._shown = re.compile(f"(?:{pieces})+")
+        self._piece = re.compile(pieces)
+        self.foreign = False
+        if self.written == ALIGNED:
+            odd = "|".join(re.escape(g) for g in self.seen if not all(map(_plausible, g))) or "(?!)"
+            self._strong = re.compile(f"[A-Za-z](?:{odd})|(?:{odd})[A-Za-z]")
+            self._odd = re.compile(odd)
+            self._pattern = re.compile(r"[^\n.!?]+")
+            return
         table = reading(self.read)
         # bytes from 0x80 to 0x9f are read as control characters by some programs
         self._codes = {chr(b): b for b in range(0x80, 0xA0)} | writing(self.read)
@@ -155,6 +190,8 @@ class Conversion:
     def hint(self) -> str | None:
         """A pattern for RE2 without which a text has nothing to undo; none where single words decide."""
         members = lambda chars: "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in sorted(chars)) + "]"
+        if self.written == ALIGNED:
+            return "|".join(re.escape(g) for g in self.seen if not all(map(_plausible, g))) or None
         if self.written == "utf-8":
             part = lambda lo, hi: members(ch for ch, b in self._codes.items() if lo <= b < hi and ord(ch) > 0x7F)
             tail = part(0x80, 0xC0)
@@ -171,8 +208,10 @@ class Conversion:
 
     def _back(self, m: re.Match) -> str:
         found = m.group()
+        if self.written == ALIGNED:
+            return self._by_pieces(found) if self._out_of_place(found) else found
         if self.written == "utf-8":
-            restored = bytes(self._codes[ch] for ch in found).decode("utf-8", "replace")
+            restored = self._by_pieces(found) if self._shown.fullmatch(found) else bytes(self._codes[ch] for ch in found).decode("utf-8", "replace")
             if not self._fits(restored) and _LOST not in restored:
                 restored = self._pattern.sub(self._back, restored)  # damaged twice
             own_script = self._own_script or any(0x600 <= ord(ch) < 0x700 for ch in restored)
@@ -187,6 +226,21 @@ class Conversion:
         arabic = sum(0x600 <= ord(ch) < 0x700 for ch in restored) > sum(map(len, words)) // 2
         return restored if arabic and (len(words) > 1 or any(len(w) > 3 for w in words)) else found
 
+    def _out_of_place(self, sentence: str) -> bool:
+        """Whether a sentence mixes pieces into words of ASCII letters, or is nearly all pieces: other words of their script stay."""
+        if self._strong.search(sentence):
+            return True
+        other = sum(ch > "\x7f" for ch in sentence)
+        return other >= 4 and bool(self._odd.search(sentence)) and sum(len(p) for p in self._piece.findall(sentence)) >= 0.9 * other
+
+    def _by_pieces(self, text: str) -> str:
+        return self._piece.sub(lambda m: self.seen[m.group()], text)
+
+    def gains(self, word: str) -> bool:
+        """Whether a word becomes a much more frequent one."""
+        new = plain_word("".join(self.map.get(ch, ch) for ch in word))
+        return new != word and self.words.get(new or "", 0) >= MIN_GAIN * max(1, self.words.get(word, 0))
+
     def _by_words(self, sentence: str) -> str:
         """A sentence is damaged where a rare word becomes a frequent one; then its other unknown words are converted too."""
         parts = re.split(r"(\s+)", sentence)
@@ -218,7 +272,6 @@ def plain_word(part: str) -> str | None:
     return re.sub("[0-9]+", "0", _EDGES.sub("", part))
 
 
-_MARKED_WORD = re.compile(r"[^\s\x80-\U0010ffff]*[^\s\x00-\x7f\u0600-\u06ff]\S*")
 #: A character that is neither ASCII nor Arabic, for RE2.
 _LATIN_MARKED = r"[^\x00-\x7F\x{600}-\x{6FF}\x{200C}\x{200D}]"
 
@@ -230,24 +283,71 @@ class Repair:
     conversions: list[Conversion]
     words: Mapping[str, int] = field(default_factory=dict)
 
-    def __call__(self, text: str) -> str:
-        for c in self.conversions:
+    def __call__(self, text: str, wanted: Sequence[bool] | None = None) -> str:
+        """The text with every conversion undone; ``wanted`` tells which of them have something to undo at first."""
+        for k, c in enumerate(self.conversions):
+            if wanted is not None and not wanted[k]:
+                continue
             for _ in range(PASSES):
                 before = text
-                if c.written == "utf-8" or c.foreign or self.unknown(text):
-                    text = c.undo(text)
+                text = c.undo(text)
                 if text == before:
                     break
+                wanted = None  # what comes out may need another
         return text
 
-    def unknown(self, text: str) -> bool:
-        """Whether a text has a word with accents or signs that is not among the frequent ones."""
-        return any(w is not None and self.words.get(w, 0) < self._common for w in map(plain_word, _MARKED_WORD.findall(text)))
+    def wanted(self, texts: pa.Array) -> np.ndarray:
+        """For each conversion and text whether there is anything to undo."""
+        out = np.zeros((len(self.conversions), len(texts)), bool)
+        by_words = [k for k, c in enumerate(self.conversions) if c.hint is None]
+        for k, c in enumerate(self.conversions):
+            if c.hint is not None:
+                out[k] = pc.match_substring_regex(texts, c.hint).to_numpy(zero_copy_only=False)
+        if by_words:
+            marked = np.flatnonzero(pc.match_substring_regex(texts, _LATIN_MARKED).to_numpy(zero_copy_only=False))
+            for rows, word in self._marked_words(texts.take(pa.array(marked))):
+                for k in by_words:
+                    if self._gains(k, word):
+                        out[k, marked[rows]] = True
+        return out
+
+    def _gains(self, k: int, word: str) -> bool:
+        if len(self._judged) > 1_000_000:
+            self._judged.clear()
+        known = self._judged.get((k, word))
+        if known is None:
+            plain = plain_word(word)
+            known = self._judged[k, word] = plain is not None and self.conversions[k].gains(plain)
+        return known
 
     @functools.cached_property
-    def _common(self) -> float:
-        """A word as frequent as this cannot be the damaged form of another."""
-        return max(self.words.values(), default=0) / MIN_GAIN
+    def _judged(self) -> dict[tuple[int, str], bool]:
+        return {}
+
+    def __getstate__(self) -> dict:
+        return {"conversions": self.conversions, "words": self.words}
+
+    @staticmethod
+    def _marked_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, str]]:
+        """Each distinct word with characters that are neither ASCII nor Arabic, and the rows it stands in."""
+        done = 0
+        for block in cp.blocks(texts):
+            points, offsets = cp.decode(block)
+            blank = np.r_[True, (points <= 0x20) | (points == 0xA0) | (points == 0x2028) | (points == 0x2029), True]
+            edge = np.zeros(len(points) + 1, bool)
+            edge[offsets] = True
+            starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | edge[:-1]))
+            ends = np.flatnonzero(~blank[1:-1] & (blank[2:] | edge[1:])) + 1
+            marks = np.r_[0, np.cumsum((points > 0x7F) & ~((points >= 0x600) & (points < 0x700)) & (points != 0x200C))]
+            some = marks[ends] > marks[starts]
+            starts, ends = starts[some], ends[some]
+            _, first, place = np.unique(cp.span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+            row = np.searchsorted(offsets, starts, "right") - 1
+            order = np.argsort(place, kind="stable")
+            cuts = np.r_[0, np.cumsum(np.bincount(place, minlength=len(first)))]
+            for k, i in enumerate(first.tolist()):
+                yield done + row[order[cuts[k] : cuts[k + 1]]], "".join(map(chr, points[starts[i] : ends[i]].tolist()))
+            done += len(block)
 
 
 #: Ends of sentences: line breaks and closing punctuation; and those that are no lost characters.
@@ -314,6 +414,7 @@ def _learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for garbled, clean in ((other, twin), (twin, other)):
                 for written, read, pairs in explain(garbled, clean):
                     count.update((written, read, *p) for p in pairs)
+            count.update((ALIGNED, ALIGNED, g, c, True) for g, c in align(other, twin))
     yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["written", "read", "garbled", "clean", "exact", "n"])
 
 
@@ -332,7 +433,11 @@ def choose(rows: Iterable[tuple[str, str, str, str, bool, int]], words: Mapping[
     """Accepted conversions out of ``written, read, garbled, clean, exact, n``: those that explain most by themselves."""
     by: dict[tuple[str, str], Counter] = {}
     exact: dict[tuple[str, str], Counter] = {}
+    alone: Counter[tuple[str, str]] = Counter()
     for written, read, g, c, own, n in rows:
+        if written == ALIGNED:
+            alone[g, c] += n
+            continue
         by.setdefault((written, read), Counter())[g, c] += n
         if own:
             exact.setdefault((written, read), Counter())[g, c] += n
@@ -351,30 +456,32 @@ def choose(rows: Iterable[tuple[str, str, str, str, bool, int]], words: Mapping[
         if sum(new.values()) < MIN_EXPLAINED or len({c for _, c in new}) < MIN_DISTINCT:
             continue
         explained |= set(pairs)
-        seen = {g: c for (g, c), _ in sorted(pairs.items(), key=lambda x: x[1]) if g != c} if written != "utf-8" else {}
+        seen = {g: c for (g, c), _ in sorted(pairs.items(), key=lambda x: x[1]) if g != c}
         found.append((written != "utf-8", Conversion(written, read, seen, alphabet, words or {})))
-    return Repair([c for _, c in sorted(found, key=lambda x: x[0])], words or {})
+    conversions = [c for _, c in sorted(found, key=lambda x: x[0])]
+    # what no charset explains: pieces that nearly always stand for the same letter
+    rest = {p: n for p, n in alone.items() if p not in explained and p[0] != p[1] and all(c.undo(p[0]) == p[0] for c in conversions)}
+    every: Counter[str] = Counter()
+    for (g, _), n in rest.items():
+        every[g] += n
+    seen = {g: c for (g, c), n in sorted(rest.items(), key=lambda x: x[1]) if n >= MIN_ALIGNED and n >= 0.9 * every[g] and c.isalpha()}
+    if sum(rest[g, c] for g, c in seen.items()) >= MIN_EXPLAINED and len(set(seen.values())) >= MIN_DISTINCT and any(not all(map(_plausible, g)) for g in seen):
+        conversions.append(Conversion(ALIGNED, ALIGNED, seen, alphabet, words or {}))
+    return Repair(conversions, words or {})
 
 
 def repaired(text: Column | str, repair: Repair) -> Column:
     """The text with every learned conversion undone; null stays null, ASCII texts are passed through."""
 
-    hints = "|".join(f"(?:{h})" for c in repair.conversions if (h := c.hint))
-    by_words = any(c.hint is None for c in repair.conversions)
-
     @F.arrow_udf(T.StringType())
     def undo(texts: pa.Array) -> pa.Array:
         filled = texts.fill_null("")
-        open_ = pc.match_substring_regex(filled, hints) if hints else pa.array([False] * len(texts))
-        open_ = open_.to_numpy(zero_copy_only=False).copy()
-        if by_words:
-            foreign = pc.match_substring_regex(filled, _LATIN_MARKED).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(foreign & ~open_)
-            open_[at] = [repair.unknown(x) for x in filled.take(pa.array(at)).to_pylist()]
+        wanted = repair.wanted(filled)
+        open_ = wanted.any(0)
         if not open_.any():
             return texts
         at = np.flatnonzero(open_)
-        done = [repair(x) for x in filled.take(pa.array(at)).to_pylist()]
+        done = [repair(x, w) for x, w in zip(filled.take(pa.array(at)).to_pylist(), wanted[:, at].T.tolist(), strict=True)]
         return pc.replace_with_mask(texts, pa.array(open_), pa.array(done, texts.type))
 
     return undo(text)

@@ -133,10 +133,6 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return low, inside
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-
-
 def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash (of the lower-case letters) of every word in rows of code points."""
     low, inside = _letters()
@@ -145,18 +141,7 @@ def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     edge[offsets] = True
     starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))
     ends = np.flatnonzero(word[:-1] & (~word[1:] | edge))
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        power, back = np.full(len(points), _ODD), np.full(len(points), _INVERSE)
-        power[0] = back[0] = 1
-        np.cumprod(power, out=power)
-        np.cumprod(back, out=back)
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((low[points].astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        h = (total[ends] - total[starts]) * back[starts]
-        h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return starts, ends, h ^ h >> np.uint64(29)
+    return starts, ends, cp.span_hashes(low[points], starts, ends)
 
 
 class Words:

@@ -92,3 +92,40 @@ def test_question_marks_stay_lossy(spark, tmp_path):
 
     spark.createDataFrame([(1, "???? ?? ??? ناشناس."), (2, "plain")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.doc_id, r.lossy) for r in catalog.p8_restored(spark, str(tmp_path)).collect()] == [(1, True)]
+
+
+def test_charset_outside_the_list(spark):
+    """Damage by a charset that is not among the known ones is learned from aligned characters alone."""
+    assert "cp866" not in en.CHARSETS
+    r = random.Random(8)
+    bad = lambda t: t.encode("cp1252").decode("cp866")
+    lines = [f"{a} {b} {c} près de la fenêtre où l'été s'achève, forêt et café" for a in ("Brune", "Paul", "Lise", "Jean", "Rose") for b in ("reste", "chante", "dort") for c in ("tard", "ici")]
+    rows = [(i, line) for i, line in enumerate(lines * 3)]
+    rows += [(1000 + i, bad(line)) for i, line in enumerate(r.sample(lines, 12))]
+    # without a twin
+    rows += [(2000, bad("Une phrase sans jumelle : l'été où la forêt brûle près du café.")), (2001, "Чай и щука – русский текст."), (2002, "Le café est fermé.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    repair = en.learn(df)
+    assert [c.written for c in repair.conversions] == [en.ALIGNED]
+    got = {x.key: x.restored for x in en.damaged(df, repair=repair).collect()}
+    clean = set(lines)
+    assert all(got[1000 + i] in clean for i in range(12)) and got[2000].startswith("Une phrase sans jumelle : l'été où la forêt br")
+    assert set(got) == {*range(1000, 1012), 2000}
+
+
+def test_restored_by_type_of_damage(spark):
+    """Planted damage of each type: the clean text comes out, whole texts and single sentences alike."""
+    fr = [f"{a} {b} {c}, déjà réalisée après l'été à Orléans – « bénévole » n° {i}" for i, a in enumerate(("Séance", "Forêt", "Fenêtre", "Journée")) for b in ("très calme", "bien gérée") for c in ("près du café", "où il neige", "côté rivière")]
+    fa = [f"{a} {b} {c} از خداحافظی دیرکرده گفت و اتاق آرام‌تر شد" for a in ("وقتی بچه‌ها خوابیدند", "دیروز غروب", "پس از ناهار") for b in ("مربی همتا", "همسایه‌ی قدیمی") for c in ("آهسته", "چند بار")]
+    kinds = {("utf-8", "cp1252"): fr, ("utf-8", "cp1251"): fr, ("utf-8", "mac_roman"): fr, ("utf-8", "cp437"): fr, ("utf-8", "cp1256"): fa, ("utf-8", "latin-1"): fa}
+    rows = [(i, f"{t}. Merci.") for i, t in enumerate((fr + fa) * 3)]
+    want, key = {}, 1000
+    for (a, b), texts in kinds.items():
+        for t in texts:
+            rows.append((key, f"{spoiled(t, a, b)}. Merci."))
+            want[key] = ((a, b), f"{t}. Merci.")
+            key += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.key: x.restored for x in en.damaged(df).collect()}
+    hit = {k: [got.get(i) == t for i, (kind, t) in want.items() if kind == k] for k in kinds}
+    assert set(got) == set(want) and all(sum(x) >= 0.95 * len(x) for x in hit.values()), {k: sum(x) / len(x) for k, x in hit.items()}
