@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Blocks in a mix, and parts of each source whose sizes are counted.
 BLOCKS, FINE = 1 << 20, 8192
+#: Rows of a plan that are sent to every task; longer plans are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Least average number of documents in a shard.
 SHARD_DOCUMENTS = 64
 _LIST = "mix_id int, source string, shard int, width int, quota long, passes long, shift long, whole long"
@@ -97,8 +99,11 @@ def allocate(wanted: Sequence[dict], sizes: dict[str, dict[int, tuple[int, int]]
         for t, got in zip(rows, sainte_lague(weights, seats), strict=True):
             parts = sizes.get(t["source"], {})
             own = sum(n for _, n in parts.values())
-            # compared without rounding: own * cap < total * weight / whole
-            reached = not t["weight"] or own > 0 and (t["cap"] is None or own * t["cap"] * whole >= total * t["weight"])
+            # a source is short where it cannot give the blocks that it was allotted; within the rounding
+            # of the allotment (a block for each source) the share itself decides
+            give = None if t["cap"] is None else own * t["cap"]
+            near = not own or give is not None and give * seats < (got + len(rows)) * total
+            reached = not t["weight"] or not near or own > 0 and give * whole >= total * t["weight"]
             shares.append((mix, t["source"], t["weight"] / whole if whole else 0.0, total * t["weight"] // whole if whole else 0, own, t["cap"], reached))
             if not got or not own or t["cap"] == 0:
                 continue
@@ -142,37 +147,41 @@ def plan(documents: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str
     return allocate(wanted, sizes, sum(r["size"] for r in counted), seed, blocks)
 
 
-def shares(documents: DataFrame, mixes: DataFrame, **options) -> DataFrame:
+def shares(documents: DataFrame, mixes: DataFrame, found: Plan | None = None, **options) -> DataFrame:
     """``mix_id, source, share, target, available, max_repeats, reached`` for every target.
 
     ``reached`` is false where all the source's documents, each used ``max_repeats`` times, are
     smaller than the target, or the source has no text. A weight of 0 is always reached. Documents
     without source are no part of a mix; null and empty texts have size 0.
     """
-    found = plan(documents, mixes, **options)
+    found = found or plan(documents, mixes, **options)
     return documents.sparkSession.createDataFrame(found.shares, "mix_id int, source string, share double, target long, available long, max_repeats long, reached boolean")
 
 
-def mix(documents: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
+def mix(documents: DataFrame, mixes: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, blocks: int = BLOCKS, found: Plan | None = None) -> DataFrame:
     """``mix_id, source, key, size, uses``: how often each document is used in each mix (rows with uses only).
 
     A document whose middle lies in the drawn stretch of its shard's seeded order is used once more
     than the shard's full passes. Documents without tokens have no part in a mix. Shards, not
     sources, are ordered in a task, and their number grows with the source.
     """
-    found = plan(documents, mixes, key, text, source, seed, blocks)
+    found = found or plan(documents, mixes, key, text, source, seed, blocks)
     spark = documents.sparkSession
     quotas = spark.createDataFrame(found.quotas, _LIST)
     widths = spark.createDataFrame(sorted({(q[1], q[3]) for q in found.quotas}), "source string, width int")
-    rows = _documents(documents, key, text, source, seed).where("size > 0").join(F.broadcast(widths), "source").withColumn("shard", F.floor(F.col("fine") / F.col("width")).cast("int"))
+    rows = _documents(documents, key, text, source, seed).where("size > 0").join(_sent(widths, len(found.quotas)), "source").withColumn("shard", F.floor(F.col("fine") / F.col("width")).cast("int"))
     in_order = Window.partitionBy("source", "shard").orderBy("order", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("middle", F.sum("size").over(in_order) - F.floor(F.col("size") / 2))
     # one row per mix, source and shard: at most FINE for each target row
-    drawn = placed.join(F.broadcast(quotas.drop("width")), ["source", "shard"])
+    drawn = placed.join(_sent(quotas.drop("width"), len(found.quotas)), ["source", "shard"])
     more = F.pmod(F.col("middle") + F.col("shift"), F.col("whole")) < F.col("quota")
     return drawn.withColumn("uses", F.col("passes") + more.cast("long")).where("uses > 0").select("mix_id", "source", "key", "size", "uses")
 
 
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def actual(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
     """``mix_id, source, share, target, drawn, actual``: tokens drawn and their share of what was drawn for the mix."""
     got = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("size") * F.col("uses")).alias("drawn"))
