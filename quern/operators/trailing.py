@@ -45,7 +45,8 @@ def trailing_runs(events: DataFrame, entity: Column, day: Column, amount: Column
             for sign, shift in ((1, 0), (-1, p))
         ]
     )
-    deltas = daily.select("entity", F.inline(sides)).groupBy("entity", "period_days", "at").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"), F.max("enters").alias("enters"))
+    # one exchange of daily rows serves everything below
+    deltas = daily.repartition("entity").select("entity", F.inline(sides)).groupBy("entity", "period_days", "at").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"), F.max("enters").alias("enters"))
     own = Window.partitionBy("entity", "period_days")
     in_order = own.orderBy("at")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from quern.operators import trailing, versions
 from quern.sources.tables import table
 
-LOG_COLUMNS = ["user_id", "node_id", "category", "status", "score", "confidence", "reasoning", "created_at"]
+#: What tells two rows of one user and moment apart, beside ``id``.
+REST = ["node_id", "category", "status", "confidence", "reasoning"]
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored log rows; rows alike in every column but ``id`` count once."""
-    logs = table(spark, folder, "resilience_logs").select(*LOG_COLUMNS)
-    return logs.where("score IS NOT NULL AND created_at IS NOT NULL").dropDuplicates()
+    """``user_id, day, score`` of scored log rows; rows alike in every column but ``id`` count once.
+
+    Repeats meet by user and day, with a digest in place of texts; daily sums then need no further exchange.
+    """
+    logs = table(spark, folder, "resilience_logs").where("score IS NOT NULL AND created_at IS NOT NULL")
+    rows = logs.select("user_id", F.to_date("created_at").alias("day"), "created_at", "score", F.unhex(versions.hash_diff(REST)).alias("digest"))
+    return rows.repartition("user_id", "day").dropDuplicates().select("user_id", "day", "score")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    days = trailing.peak_days(scored(spark, folder), F.col("user_id"), F.col("created_at"), F.col("score"))
+    days = trailing.peak_days(scored(spark, folder), F.col("user_id"), F.col("day"), F.col("score"))
     return days.select(F.col("entity").alias("user_id"), "period_days", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 def p1_trailing_totals(spark: SparkSession, folder: str) -> DataFrame:
-    days = trailing.trailing_totals(scored(spark, folder), F.col("user_id"), F.col("created_at"), F.col("score"))
+    days = trailing.trailing_totals(scored(spark, folder), F.col("user_id"), F.col("day"), F.col("score"))
     return days.select(F.col("entity").alias("user_id"), "period_days", F.date_format("day", "yyyy-MM-dd").alias("day"), "total", "n", F.round("mean", 6).alias("mean"), F.round("daily_mean", 6).alias("daily_mean"))
 
 
