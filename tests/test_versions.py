@@ -13,8 +13,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
 
 
-def log(df):
-    return versions.change_log(df, {k: F.col(k) for k in KEYS}, F.col("made"), F.col("id"), {"state": {"state": F.col("state")}, "score": {"score": F.col("score")}})
+def log(df, **options):
+    return versions.change_log(df, {k: F.col(k) for k in KEYS}, F.col("made"), F.col("id"), {"state": {"state": F.col("state")}, "score": {"score": F.col("score")}}, **options)
 
 
 def brute(rows):
@@ -40,8 +40,9 @@ def make(seed, n=400):
 
 def test_versions_equal_brute_force(spark):
     rows = make(1)
-    got = versions.versions(log(frame(spark, rows)), KEYS)
-    assert sorted([(x.user, x.node, x.valid_from, x.state, x.score, x.valid_to) for x in got.collect()], key=str) == brute(rows)
+    for hot in (versions.HOT_ROWS, 50, 1):
+        got = versions.versions(log(frame(spark, rows), hot_rows=hot), KEYS)
+        assert sorted([(x.user, x.node, x.valid_from, x.state, x.score, x.valid_to) for x in got.collect()], key=str) == brute(rows)
 
 
 def test_satellites_hold_changes_only(spark):
@@ -67,3 +68,18 @@ def test_append_equals_rebuild(spark):
 
 def test_empty(spark):
     assert versions.versions(log(frame(spark, [])), KEYS).count() == 0
+
+
+def test_one_exchange(spark):
+    """Without hot keys all rows are exchanged once."""
+    df = versions.versions(log(frame(spark, make(4)).repartition(3)), KEYS)
+    df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 2 and "Join" not in plan
+
+
+def test_late_keys(spark):
+    rows = [(1, 7, "a", "G", 1, dt.datetime(2024, 3, 1)), (2, 7, "a", "R", 1, dt.datetime(2024, 3, 5)), (3, None, "b", "R", 1, dt.datetime(2024, 3, 5))]
+    stored = versions.satellite(log(frame(spark, rows)), KEYS, "state", ["state"])
+    updates = frame(spark, [(4, 7, "a", "G", 1, dt.datetime(2024, 3, 2)), (5, None, "b", "G", 1, dt.datetime(2024, 3, 6)), (6, 9, "c", "G", 1, dt.datetime(2024, 3, 1))]).select("user", "node", F.col("made").alias("at"), "state")
+    assert [tuple(x) for x in versions.late_keys(stored, updates, KEYS).collect()] == [(7, "a")]
