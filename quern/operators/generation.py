@@ -61,10 +61,18 @@ def cases(spark: SparkSession, nodes: DataFrame, count: int, seed: int = 42) ->
     others = F.array_except(F.array(*[F.lit(d) for d in domains]), F.array("domain"))
     second = F.when((F.col("case_type") == "multi_domain") & (F.size(others) > 0), F.element_at(others, F.pmod(F.xxhash64(F.lit(seed), "case_id", F.lit("second")), F.size(others)).cast("int") + 1))
     wanted = F.when(F.col("case_type").isin("mixed_signal", "multi_domain"), 2).otherwise(1)
-    asked = built.where("NOT high_risk").select("case_id", "case_type", "difficulty", wanted.alias("wanted"), F.explode(F.array_compact(F.array("domain", second))).alias("domain"))
-    offered = asked.join(F.broadcast(nodes.select("node_id", "domain")), "domain").withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(F.xxhash64(F.lit(seed), "case_id", "node_id"), "node_id")))
+    # a case takes its nodes by position from the lists of its domains, so only as many rows as signals arise
+    lists = nodes.where("domain IS NOT NULL AND node_id IS NOT NULL").groupBy("domain").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
+    asked = built.where("NOT high_risk").select("case_id", "case_type", "difficulty", wanted.alias("wanted"), "domain", second.alias("second"))
+    both = asked.join(lists, "domain").join(lists.select(F.col("domain").alias("second"), F.col("nodes").alias("more")), "second", "left")
+    offered = F.concat("nodes", F.coalesce("more", F.expr("array()").cast("array<string>")))
+    size = F.size("offered")
+    start = F.pmod(F.xxhash64(F.lit(seed), "case_id", F.lit("node")), size)
+    step = F.when(size > 1, 1 + F.pmod(F.xxhash64(F.lit(seed), "case_id", F.lit("step")), size - 1)).otherwise(0)
+    picked = F.transform(F.sequence(F.lit(0), F.least("wanted", size) - 1), lambda k: F.get("offered", F.pmod(start + k * step, size).cast("int")))
+    drawn = both.withColumn("offered", offered).select("case_id", "case_type", "difficulty", F.explode(F.array_distinct(picked)).alias("node_id"))
     kinds = F.when(F.col("case_type") == "mixed_signal", _choose(["positive", "negative", "mixed"], seed, "case_id", "node_id")).when(F.col("case_type").isin("ambiguous", "adversarial"), _choose(["negative", "mixed"], seed, "case_id", "node_id")).otherwise(_choose(["positive", "negative"], seed, "case_id", "node_id"))
-    signals = offered.where("place <= wanted").withColumn("polarity", kinds)
+    signals = drawn.withColumn("polarity", kinds)
     rubric = spark.createDataFrame(RUBRICS, "polarity string, severity int, frequency int, functional int, coping int")
     scored = signals.join(F.broadcast(rubric), "polarity")
     less = F.when(F.col("difficulty") == "hard", 2).otherwise(0)

@@ -96,3 +96,8 @@ def registrable(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """Candidates whose trimmed username is new, each name once."""
     fresh = candidates.withColumn("username", F.trim("username")).where("username != ''").dropDuplicates(["username"])
     return fresh.join(users.select(F.trim("username").alias("username")), "username", "left_anti")
+
+
+def user_by_name(users: DataFrame, name: str) -> DataFrame:
+    """The user of a name, compared without outer blanks (S12); the filter reaches the scan's columns only."""
+    return users.where(F.trim("username") == name.strip())

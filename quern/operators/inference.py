@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -54,3 +55,25 @@ def infer(rows: DataFrame, make_client: Callable[[], Callable[[pd.DataFrame], pd
 def static_response(route: str, emergency: str, unavailable: str):
     """The fixed text of a route that calls no model, else null (H8)."""
     return F.when(F.col(route) == "emergency_response", emergency).when(F.col(route) == "service_unavailable", unavailable)
+
+
+def run_cases(turns: DataFrame, make_client: Callable[[], Callable[[dict, str], dict]], case: str = "case_id", order: str = "turn_index", text: str = "user_message") -> DataFrame:
+    """``case, turn_index, output, error`` of turns run in order, each with the state that the turns before left.
+
+    A client takes the state (a dict, empty at first) and a message, and returns the new state. The first
+    error ends a case: its turns so far are kept, the failed turn has the error's text, later ones are not run.
+    """
+    schema = f"{case} string, turn_index int, output string, error string"
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        client, state, out = make_client(), {}, []
+        for index, message in rows.sort_values(order)[[order, text]].itertuples(index=False):
+            try:
+                state = client(state, message)
+                out.append((key[0], int(index), json.dumps(state, ensure_ascii=False), None))
+            except Exception as e:  # noqa: BLE001
+                out.append((key[0], int(index), None, str(e)))
+                break
+        return pd.DataFrame(out, columns=[case, "turn_index", "output", "error"])
+
+    return turns.groupBy(case).applyInPandas(run, schema)

@@ -51,7 +51,7 @@ def node_rules(signals: DataFrame, assessments: DataFrame, nodes: DataFrame) ->
     known = nodes.select("node_id").distinct()
     out = None
     for rows, unknown, twice in ((signals, "V5", "V7"), (assessments, "V6", "V8")):
-        strange = rows.select("case_id", "node_id").distinct().join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, "node_id", "left_anti")
+        strange = rows.select("case_id", "node_id").distinct().join(known, "node_id", "left_anti")
         again = rows.groupBy("case_id", "node_id").count().where("count > 1")
         for name, r in ((unknown, strange), (twice, again)):
             r = r.select("case_id", F.lit(name).alias("rule"), F.col("node_id").alias("detail"))
@@ -86,3 +86,39 @@ def versions_agree(gold: DataFrame, predicted: DataFrame, version: str) -> DataF
     sides = gold.select(F.col(version).alias("g"), F.lit(None).cast("string").alias("p")).unionByName(predicted.select(F.lit(None).cast("string").alias("g"), F.col(version).alias("p")))
     n = sides.agg(F.count_distinct("g").alias("gold_versions"), F.count_distinct("p").alias("predicted_versions"), F.min("g").alias("g"), F.min("p").alias("p"))
     return n.select("gold_versions", "predicted_versions", F.coalesce((F.col("gold_versions") == 1) & (F.col("predicted_versions") == 1) & (F.col("g") == F.col("p")), F.lit(False)).alias("agree"))
+
+
+def schema_rules(rows: DataFrame, key: str, enums: dict[str, list[str]] | None = None, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """``key, rule, detail``: values outside their set (enum) or bounds (range), nulls are not judged."""
+    rules = [_rule("enum", F.col(c).isNotNull() & ~F.col(c).isin(*values), F.concat(F.lit(f"{c}="), F.col(c))) for c, values in (enums or {}).items()]
+    rules += [_rule("range", F.col(c).isNotNull() & ~F.col(c).between(lo, hi), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c, (lo, hi) in (ranges or {}).items()]
+    return rows.select(key, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(key, "r.*")
+
+
+def rendered_rules(cases: DataFrame, signals: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``case_id, rule, detail``: the first rule that a rendered case breaks.
+
+    In this order: number of messages; evidence for nodes without a signal; for each piece of evidence in order of its
+    ``position`` an index outside the messages, then a text that the message does not hold; signals
+    without evidence. ``cases``: case_id, turn_count, messages; ``signals``: case_id, node_id;
+    ``evidence``: case_id, position, node_id, evidence, message_index.
+    """
+    named = signals.where("node_id IS NOT NULL").groupBy("case_id").agg(F.collect_set("node_id").alias("wanted"))
+    given = evidence.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "evidence", "message_index"))).alias("given"))
+    joined = cases.join(named, "case_id", "left").join(given, "case_id", "left")
+    none = F.expr("array()").cast("array<string>")
+    wanted, stated = F.coalesce("wanted", none), F.array_distinct(F.coalesce(F.col("given.node_id"), none))
+    strange, missing = F.array_sort(F.array_except(stated, wanted)), F.array_sort(F.array_except(wanted, stated))
+
+    def broken(x: Column) -> Column:
+        index = F.when((x["message_index"] < 0) | (x["message_index"] >= F.size("messages")), F.concat(F.lit("index:"), x["node_id"]))
+        return F.coalesce(index, F.when(~F.contains(F.coalesce(F.get("messages", x["message_index"]), F.lit("")), F.coalesce(x["evidence"], F.lit(""))), F.concat(F.lit("text:"), x["node_id"])))
+
+    first = F.get(F.array_compact(F.transform("given", broken)), F.lit(0))
+    rule = (
+        F.when(F.size("messages") != F.col("turn_count"), F.struct(F.lit("count").alias("rule"), F.concat_ws("/", F.size("messages"), "turn_count").alias("detail")))
+        .when(F.size(strange) > 0, F.struct(F.lit("unknown").alias("rule"), F.array_join(strange, ",").alias("detail")))
+        .when(first.isNotNull(), F.struct(F.split_part(first, F.lit(":"), F.lit(1)).alias("rule"), F.split_part(first, F.lit(":"), F.lit(2)).alias("detail")))
+        .when(F.size(missing) > 0, F.struct(F.lit("missing").alias("rule"), F.array_join(missing, ",").alias("detail")))
+    )
+    return joined.select("case_id", rule.alias("r")).where("r IS NOT NULL").select("case_id", "r.*")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,12 @@ from quern.functions import scoring as sc
 from quern.functions import text as tx
 from quern.operators import evaluation as ev
 from quern.operators import generation, graph, history, validation
+from quern.plans.registry import Registry
 from quern.sources.tables import table
 from quern.streaming import conversations
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with its SQL twin."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+registry = Registry()
+query, QUERIES, SQL = registry.query, registry.queries, registry.sql
 
 
 def r6(c: Column | str) -> Column:
@@ -118,12 +105,13 @@ def registered_names(spark: SparkSession, folder: str) -> DataFrame:
 
 _BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _TURNS = "turns AS (SELECT DISTINCT turn_id, thread_id, turn_index, user_message, upper(trim(safety_status, ' ')) AS safety_status, active_nodes, requires_disambiguation, final_response FROM agent_turns)"
-#: Assessments and their rubric are derived of the turn's id, so that both engines have the same.
+#: Rubric values of the rules below are derived of the turn's id, as the tables hold none that break a rule.
 _RUBRIC = {"severity": 7, "frequency": 11, "functional": 13, "coping": 17}
 _DIMS = ", ".join(f"CAST((turn_id * {m}) % 26 AS INTEGER) AS {d}" for d, m in _RUBRIC.items())
+#: What was assessed of a turn's node: the newest log row of its user for the node.
 _ASSESSED = f"""{_TURNS},
-assessed AS (SELECT *, CASE WHEN score >= 70 THEN 'GREEN' WHEN score >= 40 THEN 'YELLOW' ELSE 'RED' END AS status
-  FROM (SELECT *, severity + frequency + functional + coping AS score FROM (SELECT DISTINCT turn_id, node_id, {_DIMS}, CAST(turn_id % 101 AS INTEGER) AS raw FROM (SELECT turn_id, unnest(active_nodes) AS node_id FROM turns) WHERE node_id IS NOT NULL))),
+newest AS (SELECT user_id, node_id, upper(trim(status, ' ')) AS status, CAST(round(coalesce(confidence, 0) * 100) AS INTEGER) AS raw FROM (SELECT DISTINCT * FROM resilience_logs) WHERE created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, node_id ORDER BY created_at DESC, id DESC) = 1),
+assessed AS (SELECT turn_id, a.node_id, coalesce(status, '-') AS status, raw FROM (SELECT DISTINCT turn_id, user_id, unnest(active_nodes) AS node_id FROM agent_turns) a JOIN newest n ON a.user_id = n.user_id AND a.node_id = n.node_id),
 last_signal AS (SELECT turn_id, node_id, arg_max((detected_signal, evidence), signal_id) AS s FROM active_signals GROUP BY ALL),
 matched AS (SELECT a.*, coalesce(s[1], 'mixed') AS polarity, trim(regexp_replace(coalesce(s[2], ''), '{_BLANKS}', ' ', 'g'), ' ') AS evidence FROM assessed a LEFT JOIN last_signal l USING (turn_id, node_id)),
 weighed AS (SELECT *, CASE WHEN evidence = '' THEN 0 ELSE least(4, len(string_split(evidence, ' '))) END AS words,
@@ -131,21 +119,22 @@ weighed AS (SELECT *, CASE WHEN evidence = '' THEN 0 ELSE least(4, len(string_sp
 calibrated AS (SELECT turn_id, node_id, status, polarity, words, (30 * raw + 750 * words + 40 * agree + 50) // 100 AS percent FROM weighed)"""
 
 
-def _turns(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "agent_turns")
-    return turns.select("turn_id", "thread_id", "turn_index", "user_message", F.upper(F.trim("safety_status")).alias("safety_status"), "active_nodes", "requires_disambiguation", "final_response").distinct()
+def _turns(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Each delivered turn once with the named columns: repeats are alike, so they meet by id and texts nobody asks for are not moved."""
+    turns = table(spark, folder, "agent_turns").withColumn("safety_status", F.upper(F.trim("safety_status")))
+    return turns.select("turn_id", *columns).dropDuplicates(["turn_id"])
 
 
 def _calibrated(spark: SparkSession, folder: str) -> DataFrame:
-    rubric = [((F.col("turn_id") * m) % 26).cast("int").alias(d) for d, m in _RUBRIC.items()]
-    nodes = _turns(spark, folder).select("turn_id", F.explode("active_nodes").alias("node_id")).where("node_id IS NOT NULL").distinct()
-    assessed = nodes.select("turn_id", "node_id", *rubric, ((F.col("turn_id") % 101) / 100.0).alias("raw"))
-    assessed = assessed.withColumn("status", sc.status(sc.total(*[F.col(d) for d in sc.DIMENSIONS])))
+    nodes = _turns(spark, folder, "user_id", "active_nodes").select("turn_id", "user_id", F.explode(F.array_distinct("active_nodes")).alias("node_id"))
+    logs = table(spark, folder, "resilience_logs").where("created_at IS NOT NULL").select("user_id", "node_id", F.struct("created_at", "id").alias("at"), F.struct(F.coalesce(F.upper(F.trim("status")), F.lit("-")).alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("raw")).alias("v"))
+    newest = logs.groupBy("user_id", "node_id").agg(F.max_by("v", "at").alias("v")).select("user_id", "node_id", "v.*")
+    assessed = nodes.join(newest, ["user_id", "node_id"]).drop("user_id")
     signals = ev.last_wins(table(spark, folder, "active_signals"), ["turn_id", "node_id"], "signal_id", ["detected_signal", "evidence"])
     joined = assessed.join(signals, ["turn_id", "node_id"], "left")
     words = F.size(tx.words(tx.squeezed(F.coalesce("evidence", F.lit("")))))
     polarity = F.coalesce("detected_signal", F.lit("mixed"))
-    return joined.select("turn_id", "node_id", "status", polarity.alias("polarity"), F.least(words, F.lit(4)).alias("words"), sc.confidence(F.col("raw"), words, F.col("status"), polarity).alias("confidence"), *sc.DIMENSIONS)
+    return joined.select("turn_id", "node_id", "status", polarity.alias("polarity"), F.least(words, F.lit(4)).alias("words"), sc.confidence(F.col("raw"), words, F.col("status"), polarity).alias("confidence"))
 
 
 @query(f"WITH {_ASSESSED} SELECT turn_id, node_id, status, polarity, CAST(words AS INTEGER) AS words, percent / 100.0::DOUBLE AS confidence FROM calibrated")
@@ -162,7 +151,7 @@ def disambiguation_flag(spark: SparkSession, folder: str) -> DataFrame:
 
 def _routed(spark: SparkSession, folder: str) -> DataFrame:
     per = _calibrated(spark, folder).groupBy("turn_id").agg(F.collect_list("confidence").alias("confidences"))
-    turns = _turns(spark, folder).select("turn_id", "safety_status", "requires_disambiguation").join(per, "turn_id", "left")
+    turns = _turns(spark, folder, "safety_status", "requires_disambiguation").join(per, "turn_id", "left")
     return turns.select(
         "turn_id",
         sc.route_after_safety(F.col("safety_status")).alias("gate"),
@@ -194,12 +183,6 @@ def route_offline(spark: SparkSession, folder: str) -> DataFrame:
     return _routed(spark, folder).select("turn_id", "derived")
 
 
-@query(f"WITH {_ROUTED}, labels(expected) AS (VALUES ('emergency_response'), ('questioner'), ('advisor')) SELECT l.expected, count(*) FILTER (derived = 'emergency_response') AS emergency_response, count(*) FILTER (derived = 'questioner') AS questioner, count(*) FILTER (derived = 'advisor') AS advisor FROM labels l LEFT JOIN routed r USING (expected) GROUP BY ALL")
-def routing_confusion(spark: SparkSession, folder: str) -> DataFrame:
-    """G15, G16."""
-    return ev.routing_matrix(_routed(spark, folder), "expected", "derived")
-
-
 # --- text ------------------------------------------------------------------------------------------
 
 _NORMAL = rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(coalesce({{0}}, ''), '{tx.LETTERS_FROM}', '{tx.LETTERS_TO}'), '[\x{{{{64B}}}}-\x{{{{65F}}}}\x{{{{670}}}}]', '', 'g'), '[\x{{{{200C}}}}\x{{{{200D}}}}\r\n\t\f\x0B!?,.:;\x{{{{61B}}}}\x{{{{61F}}}}\"''()\-\[\]{{{{}}}}<>/\\]', ' ', 'g'), '{_BLANKS.replace('{', '{{').replace('}', '}}')}', ' ', 'g'), ' '))"
@@ -220,22 +203,6 @@ def crisis_flag(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("turn_id", flag.alias("crisis"), F.when(flag, "HIGH_RISK").otherwise(F.coalesce("s", F.lit("UNAVAILABLE"))).alias("verdict"))
 
 
-def _safety(spark: SparkSession, folder: str) -> DataFrame:
-    turns = _turns(spark, folder).select("turn_id", F.coalesce(F.col("safety_status") == "HIGH_RISK", F.lit(False)).alias("gold"), F.coalesce(F.col("requires_disambiguation"), F.lit(False)).alias("predicted"))
-    return ev.confusion(turns, F.col("gold"), F.col("predicted"))
-
-
-_SAFETY = f"{_TURNS}, safety AS (SELECT turn_id, CAST(g * p AS INTEGER) AS tp, CAST((1 - g) * (1 - p) AS INTEGER) AS tn, CAST((1 - g) * p AS INTEGER) AS fp, CAST(g * (1 - p) AS INTEGER) AS fn FROM (SELECT turn_id, CAST(coalesce(safety_status = 'HIGH_RISK', false) AS INTEGER) AS g, CAST(coalesce(requires_disambiguation, false) AS INTEGER) AS p FROM turns))"
-
-
-@query(f"""WITH {_SAFETY}, s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM safety)
-SELECT *, round((tp + tn) / nullif(tp + tn + fp + fn, 0)::DOUBLE, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1 FROM s""")
-def safety_confusion_micro(spark: SparkSession, folder: str) -> DataFrame:
-    """G3, G4."""
-    m = ev.micro(_safety(spark, folder))
-    return m.select("tp", "tn", "fp", "fn", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
-
-
 @query(f"""WITH {_LOGS}, g AS (SELECT status AS p, CASE WHEN score >= 70 THEN 'GREEN' WHEN score >= 40 THEN 'YELLOW' WHEN score IS NOT NULL THEN 'RED' END AS g FROM logs),
 labels AS (SELECT g AS label FROM g WHERE g IS NOT NULL UNION SELECT p FROM g WHERE p IS NOT NULL),
 n AS (SELECT label, count(*) FILTER (g = label) AS support, count(*) FILTER (p = label) AS predicted, count(*) FILTER (g = label AND p = label) AS hits FROM labels CROSS JOIN g GROUP BY label)
@@ -246,108 +213,19 @@ def multiclass_report(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("label", "support", "predicted", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-# --- extraction --------------------------------------------------------------------------------------
-
-
-def _sets(spark: SparkSession, folder: str) -> DataFrame:
-    gold = _turns(spark, folder).select("turn_id", F.coalesce("active_nodes", F.expr("array()").cast("array<string>")).alias("gold"))
-    found = table(spark, folder, "active_signals").groupBy("turn_id").agg(F.collect_set("node_id").alias("found"))
-    return gold.join(found, "turn_id", "left").withColumn("found", F.coalesce("found", F.expr("array()").cast("array<string>")))
-
-
-_SETS = f"""{_TURNS}, g AS (SELECT DISTINCT turn_id, unnest(active_nodes) AS node_id FROM turns), p AS (SELECT DISTINCT turn_id, node_id FROM active_signals WHERE node_id IS NOT NULL),
-counts AS (SELECT t.turn_id, (SELECT count(*) FROM g WHERE g.turn_id = t.turn_id) AS gold_count, (SELECT count(*) FROM p WHERE p.turn_id = t.turn_id) AS prediction_count, (SELECT count(*) FROM g JOIN p USING (turn_id, node_id) WHERE g.turn_id = t.turn_id) AS matched FROM turns t),
-sets AS (SELECT *, coalesce(matched / nullif(prediction_count, 0)::DOUBLE, 0) AS precision, coalesce(matched / nullif(gold_count, 0)::DOUBLE, 0) AS recall, coalesce(2 * matched / nullif(gold_count + prediction_count, 0)::DOUBLE, 0) AS f1, coalesce(matched / nullif(gold_count + prediction_count - matched, 0)::DOUBLE, 0) AS jaccard FROM counts)"""
-_RATES = ("precision", "recall", "f1", "jaccard")
-
-
-@query(f"WITH {_SETS} SELECT turn_id, CAST(gold_count AS INTEGER) AS gold_count, CAST(prediction_count AS INTEGER) AS prediction_count, CAST(matched AS INTEGER) AS matched, " + ", ".join(f"round({c}, 6) AS {c}" for c in _RATES) + " FROM sets")
-def node_detection(spark: SparkSession, folder: str) -> DataFrame:
-    """G8, U1, U2, U3, P12."""
-    m = ev.set_metrics(F.col("gold"), F.col("found"))
-    return _sets(spark, folder).select("turn_id", *[(r6(c) if n in _RATES else c).alias(n) for n, c in m.items()])
-
-
-@query(f"WITH {_SETS} SELECT count(*) AS cases, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _RATES) + " FROM sets")
-def extraction_macro(spark: SparkSession, folder: str) -> DataFrame:
-    """G13."""
-    m = ev.set_metrics(F.col("gold"), F.col("found"))
-    return _sets(spark, folder).select(*[m[c].alias(c) for c in _RATES]).agg(F.count("*").alias("cases"), *[r6(F.avg(c)).alias(c) for c in _RATES])
-
-
-@query("""WITH s AS (SELECT turn_id, node_id, arg_max(coalesce(detected_signal, '-'), signal_id) AS g, arg_min(coalesce(detected_signal, '-'), signal_id) AS p FROM active_signals GROUP BY ALL)
-SELECT turn_id, count(*) AS matched, round(avg(CASE WHEN g = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM s GROUP BY turn_id""")
-def polarity_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """The last signal of a turn's node against its first."""
-    s = table(spark, folder, "active_signals").groupBy("turn_id", "node_id").agg(F.max_by(F.coalesce("detected_signal", F.lit("-")), "signal_id").alias("g"), F.min_by(F.coalesce("detected_signal", F.lit("-")), "signal_id").alias("p"))
-    return ev.polarity_accuracy(s, "turn_id", "g", "p").withColumn("accuracy", r6("accuracy"))
-
-
-_EVIDENCE = rf"""{_TURNS}, e AS (SELECT signal_id, lower(trim(regexp_replace(coalesce(evidence, ''), '{_BLANKS}', ' ', 'g'), ' ')) AS g, lower(trim(regexp_replace(coalesce(user_message, ''), '{_BLANKS}', ' ', 'g'), ' ')) AS p FROM active_signals JOIN turns USING (turn_id))"""
-
-
-@query(f"WITH {_EVIDENCE} SELECT signal_id, CASE WHEN g != '' THEN CAST(g = p AS INTEGER) END AS exact, CASE WHEN g != '' THEN CAST(contains(p, g) OR contains(g, p) AS INTEGER) END AS substring FROM e")
-def evidence_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence against the whole message."""
-    pairs = table(spark, folder, "active_signals").join(_turns(spark, folder).select("turn_id", "user_message"), "turn_id")
-    return ev.evidence_scores(pairs, "evidence", "user_message").select("signal_id", "exact", "substring")
-
-
-@query(f"""WITH {_EVIDENCE}, gt AS (SELECT signal_id, t, count(*) AS n FROM (SELECT signal_id, unnest(string_split(g, ' ')) AS t FROM e WHERE g != '') WHERE t != '' GROUP BY ALL),
-pt AS (SELECT signal_id, t, count(*) AS n FROM (SELECT signal_id, unnest(string_split(p, ' ')) AS t FROM e WHERE g != '') WHERE t != '' GROUP BY ALL),
-shared AS (SELECT signal_id, sum(least(gt.n, pt.n)) AS k FROM gt JOIN pt USING (signal_id, t) GROUP BY ALL),
-sizes AS (SELECT signal_id, (SELECT sum(n) FROM gt WHERE gt.signal_id = e.signal_id) AS a, (SELECT sum(n) FROM pt WHERE pt.signal_id = e.signal_id) AS b FROM e WHERE g != '')
-SELECT signal_id, round(coalesce(2.0 * k / (coalesce(a, 0) + coalesce(b, 0)), 0.0)::DOUBLE, 6) AS token_f1 FROM sizes LEFT JOIN shared USING (signal_id)""")
-def token_f1(spark: SparkSession, folder: str) -> DataFrame:
-    """G11."""
-    pairs = table(spark, folder, "active_signals").join(_turns(spark, folder).select("turn_id", "user_message"), "turn_id")
-    return ev.evidence_scores(pairs, "evidence", "user_message").where("token_f1 IS NOT NULL").select("signal_id", r6("token_f1").alias("token_f1"))
+@query(f"""WITH {_LOGS}, g AS (SELECT status AS p, CASE WHEN score >= 70 THEN 'GREEN' WHEN score >= 40 THEN 'YELLOW' WHEN score IS NOT NULL THEN 'RED' END AS g FROM logs), k AS (SELECT * FROM g WHERE g IS NOT NULL AND p IS NOT NULL),
+labels AS (SELECT g AS label FROM k UNION SELECT p FROM k),
+n AS (SELECT label, count(*) FILTER (g = label) AS support, count(*) FILTER (p = label) AS predicted, count(*) FILTER (g = label AND p = label) AS hits FROM labels CROSS JOIN k GROUP BY label)
+SELECT CAST(sum(support) AS BIGINT) AS total, round(sum(hits) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(coalesce(hits / nullif(predicted, 0)::DOUBLE, 0)), 6) AS macro_precision, round(avg(coalesce(hits / nullif(support, 0)::DOUBLE, 0)), 6) AS macro_recall, round(avg(coalesce(2 * hits / nullif(predicted + support, 0)::DOUBLE, 0)), 6) AS macro_f1 FROM n""")
+def multiclass_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy and macro means."""
+    one = ev.class_summary(_logs(spark, folder).select(sc.status(F.col("score")).alias("gold"), "status"), "gold", "status")
+    return one.select("total", *[r6(c).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
 
 
 # --- rubric, alignment, rules ------------------------------------------------------------------------
 
 
-def _rubrics(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    gold = {f"gold_{d}": (F.col(c) % 26).cast("int") for d, c in zip(sc.DIMENSIONS, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), strict=True)}
-    predicted = {f"predicted_{d}": ((F.col(c) + k) % 26).cast("int") for k, (d, c) in enumerate(zip(sc.DIMENSIONS, ("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber"), strict=True))}
-    return lines.select("l_orderkey", *[c.alias(n) for n, c in (gold | predicted).items()])
-
-
-_RUBRIC_SQL = "rubrics AS (SELECT l_orderkey, (l_partkey + 0) % 26 - l_orderkey % 26 AS severity, (l_orderkey + 1) % 26 - l_partkey % 26 AS frequency, (l_suppkey + 2) % 26 - l_suppkey % 26 AS functional, (l_linenumber + 3) % 26 - l_linenumber % 26 AS coping FROM lineitem), errors AS (SELECT l_orderkey, dimension, CAST(e AS DOUBLE) AS e FROM rubrics UNPIVOT (e FOR dimension IN (severity, frequency, functional, coping)))"
-
-
-@query(f"WITH {_RUBRIC_SQL} SELECT coalesce(dimension, 'overall') AS dimension, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse FROM errors GROUP BY GROUPING SETS ((dimension), ())")
-def rubric_mae_rmse(spark: SparkSession, folder: str) -> DataFrame:
-    """J7, G12."""
-    return ev.rubric_errors(_rubrics(spark, folder)).select("dimension", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"))
-
-
-@query(f"WITH {_RUBRIC_SQL}, per AS (SELECT l_orderkey, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, count(*) // 4 AS n FROM errors GROUP BY l_orderkey) SELECT count(*) AS cases, round(avg(mae), 6) AS mean_mae, round(avg(rmse), 6) AS mean_rmse, CAST(sum(n) AS BIGINT) AS matched FROM per")
-def assessment_macro(spark: SparkSession, folder: str) -> DataFrame:
-    """Means of per-case errors."""
-    e = F.array(*[F.col(f"predicted_{d}") - F.col(f"gold_{d}") for d in sc.DIMENSIONS])
-    rows = _rubrics(spark, folder).select("l_orderkey", F.explode(e).alias("e")).withColumn("e", F.col("e").cast("double"))
-    per = rows.groupBy("l_orderkey").agg(F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), (F.count("*") / 4).cast("long").alias("n"))
-    return per.agg(F.count("*").alias("cases"), r6(F.avg("mae")).alias("mean_mae"), r6(F.avg("rmse")).alias("mean_rmse"), F.sum("n").alias("matched"))
-
-
-@query("""SELECT 'missing' AS problem, o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-UNION ALL SELECT 'unexpected', l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-UNION ALL SELECT 'duplicate', l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""")
-def alignment_problems(spark: SparkSession, folder: str) -> DataFrame:
-    """J4, G22, U3."""
-    gold = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
-    return ev.alignment(gold, table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id")), "id")
-
-
-@query("SELECT count(DISTINCT o_orderstatus) AS gold_versions, (SELECT count(DISTINCT l_linestatus) FROM lineitem) AS predicted_versions, coalesce(count(DISTINCT o_orderstatus) = 1 AND (SELECT count(DISTINCT l_linestatus) FROM lineitem) = 1 AND min(o_orderstatus) = (SELECT min(l_linestatus) FROM lineitem), false) AS agree FROM orders")
-def dataset_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """V24, G21."""
-    gold = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("version"))
-    return validation.versions_agree(gold, table(spark, folder, "lineitem").select(F.col("l_linestatus").alias("version")), "version")
-
-
 _CASES = f"""{_TURNS},
 cases AS (SELECT thread_id AS case_id, max(turn_index) + 1 AS turn_count, list(user_message ORDER BY turn_index) AS messages, bool_or(coalesce(safety_status = 'HIGH_RISK', false)) AS high_risk,
   CASE WHEN max(turn_id) % 7 = 0 THEN 'VIOLENCE' ELSE 'SAFE' END AS risk_category, CASE max(turn_id) % 3 WHEN 0 THEN 'emergency_response' WHEN 1 THEN 'questioner' ELSE 'advisor' END AS route, CASE max(turn_id) % 2 WHEN 0 THEN 'low' ELSE 'high' END AS confidence_class
@@ -357,7 +235,7 @@ sig AS (SELECT thread_id AS case_id, node_id, evidence, CAST(turn_index AS INTEG
 
 
 def _cases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    turns = _turns(spark, folder)
+    turns = _turns(spark, folder, "thread_id", "turn_index", "user_message", "safety_status", "active_nodes")
     last = F.max("turn_id")
     cases = turns.groupBy(F.col("thread_id").alias("case_id")).agg(
         (F.max("turn_index") + 1).alias("turn_count"),
@@ -403,57 +281,6 @@ def validate_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(validation.evidence_rules(signals, cases))
 
 
-def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    m = ev.set_metrics(F.col("gold"), F.col("found"))
-    sets = _sets(spark, folder).select("turn_id", r6(m["precision"]).alias("precision"), r6(m["recall"]).alias("recall"))
-    routed = _routed(spark, folder).select("turn_id", "expected", F.col("derived").alias("predicted"), (F.col("expected") == F.col("derived")).cast("int").alias("route_correct"))
-    rest = _safety(spark, folder).select("turn_id", "fn", "fp", (F.col("turn_id") % 21).cast("double").alias("mae"), F.when(F.col("turn_id") % 13 != 0, (F.col("turn_id") % 11).cast("double")).alias("judge"))
-    return rest.join(sets, "turn_id").join(routed, "turn_id")
-
-
-_METRICS = f"{_ROUTED}, {_SAFETY[len(_TURNS) + 2 :]}, {_SETS[len(_TURNS) + 2 :]}, metrics AS (SELECT s.turn_id, fn, fp, round(precision, 6) AS precision, round(recall, 6) AS recall, CAST(expected = derived AS INTEGER) AS route_correct, (s.turn_id % 21)::DOUBLE AS mae, CASE WHEN s.turn_id % 13 != 0 THEN (s.turn_id % 11)::DOUBLE END AS judge FROM safety s JOIN sets USING (turn_id) JOIN routed USING (turn_id))"
-_FAILED = f"""WITH {_METRICS}, failed AS (
-SELECT turn_id, 'safety_false_negative' AS category FROM metrics WHERE fn > 0
-UNION ALL SELECT turn_id, 'safety_false_positive' FROM metrics WHERE fp > 0
-UNION ALL SELECT turn_id, 'extraction_missed_signal' FROM metrics WHERE recall < 1
-UNION ALL SELECT turn_id, 'extraction_false_positive' FROM metrics WHERE precision < 1
-UNION ALL SELECT turn_id, 'routing_failure' FROM metrics WHERE route_correct = 0
-UNION ALL SELECT turn_id, 'assessment_failure' FROM metrics WHERE mae > 10
-UNION ALL SELECT turn_id, 'advisor_failure' FROM metrics WHERE coalesce(judge, 10) < 5)"""
-
-
-@query(_FAILED + " SELECT turn_id, category FROM failed")
-def failure_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """F1-F7, U4."""
-    return ev.failures(_metrics(spark, folder), "turn_id").select("turn_id", "category")
-
-
-@query(_FAILED + " SELECT category, count(*) AS n FROM failed GROUP BY category")
-def failure_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """G7."""
-    return ev.failures(_metrics(spark, folder), "turn_id").groupBy("category").agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {_METRICS}
-SELECT count(*) AS total, count(*) FILTER (fn = 0 AND fp = 0) AS successful, round(avg(route_correct), 6) AS routing_accuracy, round(avg(recall), 6) AS mean_recall, round(avg(mae), 6) AS mean_mae, round(avg(coalesce(judge, 0)), 6) AS mean_judge FROM metrics""")
-def summary_report(spark: SparkSession, folder: str) -> DataFrame:
-    """A missing judge score counts as 0."""
-    return _metrics(spark, folder).agg(
-        F.count("*").alias("total"),
-        F.count_if((F.col("fn") == 0) & (F.col("fp") == 0)).alias("successful"),
-        r6(F.avg("route_correct")).alias("routing_accuracy"),
-        r6(F.avg("recall")).alias("mean_recall"),
-        r6(F.avg("mae")).alias("mean_mae"),
-        r6(F.avg(F.coalesce("judge", F.lit(0.0)))).alias("mean_judge"),
-    )
-
-
-@query(f"WITH {_CASES} SELECT dimension, value, count(*) AS n FROM (SELECT case_id, risk_category, route, confidence_class FROM cases) UNPIVOT (value FOR dimension IN (risk_category, route, confidence_class)) GROUP BY ALL")
-def frequency_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """G6."""
-    return ev.frequencies(_cases(spark, folder)[0], ["risk_category", "route", "confidence_class"])
-
-
 # --- graph ------------------------------------------------------------------------------------------
 
 _EDGES = "e AS (SELECT * FROM graph_edges QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY relation_type DESC NULLS LAST, description DESC NULLS LAST) = 1), valid AS (SELECT * FROM e WHERE source_id IN (SELECT node_id FROM graph_nodes) AND target_id IN (SELECT node_id FROM graph_nodes))"
@@ -497,7 +324,7 @@ FROM (SELECT DISTINCT turn_id FROM turns) t LEFT JOIN asked a USING (turn_id) LE
 def graph_context_text(spark: SparkSession, folder: str) -> DataFrame:
     """The context of every turn."""
     nodes, edges = _edges(spark, folder)
-    return graph.turn_context(_turns(spark, folder).select("turn_id", "active_nodes"), "turn_id", "active_nodes", nodes, edges)
+    return graph.turn_context(_turns(spark, folder, "active_nodes"), "turn_id", "active_nodes", nodes, edges)
 
 
 @query("""SELECT signal_id, '• Target Node: ' || node_id || chr(10) || '  - Extracted Polarity: ' || upper(coalesce(detected_signal, 'mixed')) || chr(10) || '  - Exact User Substring (Evidence): "' || coalesce(evidence, '') || '"' AS line,
@@ -515,24 +342,10 @@ def signal_lines(spark: SparkSession, folder: str) -> DataFrame:
 _ONCE = f"{_TURNS}, once AS (SELECT DISTINCT ON (thread_id, turn_index) * FROM turns WHERE thread_id IS NOT NULL ORDER BY thread_id, turn_index, turn_id)"
 
 
-@query(f"WITH {_ONCE} SELECT thread_id, max(turn_index) AS last_index, string_agg(user_message, chr(10) ORDER BY turn_index) AS user_context, arg_max(coalesce(final_response, ''), turn_index) AS response, arg_max(coalesce(safety_status, 'SAFE'), turn_index) = 'HIGH_RISK' AS high_risk FROM once GROUP BY thread_id")
-def last_turn(spark: SparkSession, folder: str) -> DataFrame:
-    """A thread's last turn and all its messages."""
-    once = _turns(spark, folder).where("thread_id IS NOT NULL").groupBy("thread_id", "turn_index").agg(F.min_by(F.struct("user_message", "final_response", "safety_status"), "turn_id").alias("t")).select("thread_id", "turn_index", "t.*")
-    messages = F.array_sort(F.collect_list(F.when(F.col("user_message").isNotNull(), F.struct("turn_index", "user_message"))))["user_message"]
-    context = F.when(F.count("user_message") > 0, F.array_join(messages, "\n"))
-    return once.groupBy("thread_id").agg(
-        F.max("turn_index").alias("last_index"),
-        context.alias("user_context"),
-        F.max_by(F.coalesce("final_response", F.lit("")), "turn_index").alias("response"),
-        (F.max_by(F.coalesce("safety_status", F.lit("SAFE")), "turn_index") == "HIGH_RISK").alias("high_risk"),
-    )
-
-
 @query(f"WITH {_ONCE} SELECT thread_id, count(*) AS turns, arg_max(coalesce(safety_status, '-'), turn_index) AS last_status, count(user_message) AS n_messages FROM once GROUP BY thread_id")
 def conversation_state(spark: SparkSession, folder: str) -> DataFrame:
     """The batch form of the keyed stream state."""
-    turns = _turns(spark, folder).withColumn("safety_status", F.coalesce("safety_status", F.lit("-")))
+    turns = _turns(spark, folder, "thread_id", "turn_index", "safety_status", "user_message").withColumn("safety_status", F.coalesce("safety_status", F.lit("-")))
     return conversations.threads(turns)
 
 

@@ -13,20 +13,24 @@ _BAD = "_bad_record"
 def read_jsonl(spark: SparkSession, path: str, schema: str, allow_empty: bool = False) -> DataFrame:
     """Typed JSON lines (S1-S6): blank lines are skipped, a malformed line or an empty file is an error.
 
-    Unknown fields are dropped; find them with validation.unknown_fields on the raw lines.
+    The error names the line's number in its file. Unknown fields are dropped; find them with
+    validation.unknown_fields on the raw lines.
     """
-    raw = spark.read.schema(f"{schema}, {_BAD} STRING").option("columnNameOfCorruptRecord", _BAD).json(path).cache()
-    try:
-        bad = raw.where(f"{_BAD} IS NOT NULL").select(_BAD).limit(1).collect()
-        if bad:
-            raise ValueError(f"malformed line in {path}: {bad[0][0][:200]}")
-        if not allow_empty and raw.limit(1).count() == 0:
-            raise ValueError(f"no rows in {path}")
-    finally:
-        raw.unpersist()
+    raw = spark.read.schema(f"{schema}, {_BAD} STRING").option("columnNameOfCorruptRecord", _BAD).json(path)
+    # the first bad line ends this search; a sound input is parsed once here
+    bad = raw.where(F.col(_BAD).isNotNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"malformed line {_line_number(spark, path, bad[0][_BAD])} in {path}: {bad[0][_BAD][:200]}")
+    if not allow_empty and raw.limit(1).count() == 0:
+        raise ValueError(f"no rows in {path}")
     return spark.read.schema(schema).json(path)
 
 
+def _line_number(spark: SparkSession, path: str, line: str) -> int:
+    """The number, from 1, of a line in its file; only errors ask for it."""
+    return spark.sparkContext.textFile(path).zipWithIndex().filter(lambda x: x[0].strip() == line.strip()).map(lambda x: x[1] + 1).min()
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Schema-less lines as variants."""
     return spark.read.text(path).where("trim(value) != ''").select(F.parse_json("value").alias("record"))
