@@ -280,18 +280,24 @@ def _trimmed(low: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def features(low: str, original: str, span: Span, known: set[int] = frozenset()) -> list[int]:
-    """Format of the span and cues around it, as small integers."""
+def context(low: str, span: Span) -> tuple[int, int]:
+    """Where the words around a span begin and end that may speak of it: those of a neighbouring sentence do not."""
+    first = max(0, span.start - 28)
+    for m in _END.finditer(low, first, span.start):
+        first = m.end()
+    if span.kind in (1, 2) and _NUMBER_NEXT.search(low, span.end, span.end + 30):
+        return first, span.end  # what is said there is said of the next number
+    m = _STOP.search(low, span.end, span.end + 18)
+    return first, m.start() if m else min(len(low), span.end + 18)
+
+
+def features(low: str, original: str, span: Span, known: set[int], around: tuple[int, int], lowered: bool) -> list[int]:
+    """Format of the span and cues around it (see context()), as small integers; ``lowered``: in lower case among capitals."""
     own = low[span.start : span.end]
     shown = original[span.start : span.end]
-    before, after = low[max(0, span.start - 28) : span.start], low[span.end : span.end + 18]
-    at_start = bool(_START.search(before)) if span.start else True
-    # cues of a neighbouring sentence say nothing
-    before = _END.split(before)[-1]
-    after = re.split(r"[.!?؟;؛)](?: |$)|\n| \(", after)[0]
-    near = before
-    if span.kind in (1, 2) and re.search(r"\d{3}", low[span.end : span.end + 30]):
-        after = ""  # what is said there is said of the next number
+    near = before = low[around[0] : span.start]
+    after = low[span.end : around[1]]
+    at_start = bool(_START.search(near))
     before, after = re.split(r"\d{4,}", before)[-1], re.split(r"\d{4,}", after)[0]
     groups = _GROUP.findall(own) if span.kind == 1 else []
     digits = sum(map(str.isdigit, own))
@@ -319,7 +325,7 @@ def features(low: str, original: str, span: Span, known: set[int] = frozenset())
         len(groups[-1]) if groups else 0,
         len(re.match(r"[a-z]*", groups[0]).group()) if groups else 0,
         sum(any(map(str.isalpha, g)) for g in groups),
-        "#" in (low[max(0, span.start - 2) : span.start] + low[span.end : span.end + 1]),
+        "#" in near[-2:] + after[:1],
         own.endswith("000") and " " in own,
         len(tokens),
         sum(span.start + m.start() in known for m in _TOKEN.finditer(own)) if span.kind == 4 else 0,
@@ -338,11 +344,10 @@ def features(low: str, original: str, span: Span, known: set[int] = frozenset())
         1 if not near.strip() else 2 if near.rstrip()[-1:] in ":" else 3 if near.rstrip()[-1:] in ",،" else 0,
         any("؀" <= ch < "܀" for ch in own),
         shown[:1].isupper() + 2 * bool(tokens and shown[own.rfind(tokens[-1]) :][:1].isupper()),
-        # in lower case among capitals
-        shown == own and any(map(str.isupper, original[: span.start] + original[span.end :])),
-        any(map(str.isdigit, low[max(0, span.start - 2) : span.start])) + 2 * any(map(str.isdigit, low[span.end : span.end + 2])),
-        _beside(low, original, span.end, 1),
-        _beside(low, original, span.start, -1),
+        lowered,
+        any(map(str.isdigit, near[-2:])) + 2 * any(map(str.isdigit, after[:2])),
+        _beside(low, original, span.end, around[1], 1),
+        _beside(low, original, around[0], span.start, -1),
     ]
     f += [bool(p.search(before)) + 2 * bool(p.search(after)) for _, p in _CUES]
     return [min(63, int(x)) for x in f]
@@ -350,13 +355,19 @@ def features(low: str, original: str, span: Span, known: set[int] = frozenset())
 
 #: Ends of sentences and brackets, but for the dots of usual abbreviations.
 _END = re.compile(r"(?<!\btel)(?<!\btél)(?<!\bno)(?<!\bnr)(?<!\bref)(?<!\bréf)(?<!\bst)(?<!\bdr)[.!?؟;؛] |\) |\n")
+_STOP = re.compile(r"[.!?؟;؛)](?: |$)|\n| \(")
+_NUMBER_NEXT = re.compile(r"\d{3}")
 _NEXT = re.compile(rf"[ '’-]({_LETTER}+)")
 _BEFORE = re.compile(rf"({_LETTER}+)\.?[ '’-]$")
 
 
-def _beside(low: str, original: str, at: int, step: int) -> int:
-    """What the next word is: none (0), a small word (1), in lower case (2), capitalized (3)."""
-    m = _NEXT.match(low, at) if step > 0 else _BEFORE.search(low, max(0, at - 24), at)
+def _lowered(text: str, low: str, span: Span, uppers: int) -> bool:
+    return uppers > 0 and text[span.start : span.end].translate(_DIGITS) == low[span.start : span.end]
+
+
+def _beside(low: str, original: str, start: int, end: int, step: int) -> int:
+    """What the next word between two places is: none (0), a small word (1), in lower case (2), capitalized (3)."""
+    m = _NEXT.match(low, start, end) if step > 0 else _BEFORE.search(low, start, end)
     if not m:
         return 0
     return 1 if m.group(1) in _SMALL_WORDS else 3 if original[m.start(1)].isupper() else 2
@@ -393,7 +404,7 @@ def train(seed: int = 7, texts: int = TRAINING) -> dict[str, Boosted]:
     words = Words(grammar.words)
     x, y, part = [], [], []
     for text, spans in made:
-        low, known = folded(text), words.of(text)
+        low, known, uppers = folded(text), words.of(text), sum(map(str.isupper, text))
         for s in propose(low, text, known):
             label, overlaps, inside = "", False, False
             for a, b, kind in spans:
@@ -404,7 +415,7 @@ def train(seed: int = 7, texts: int = TRAINING) -> dict[str, Boosted]:
                     label = kind
             if inside:
                 continue  # words of a street or an address of mail look like names and are covered by it
-            x.append(features(low, text, s, known))
+            x.append(features(low, text, s, known, context(low, s), _lowered(text, low, s, uppers)))
             y.append(label)
             part.append(overlaps and not label)
     rows, labels, doubtful = np.array(x), np.array(y), np.array(part)
@@ -505,12 +516,14 @@ class Redactor:
         self.models = models
         self.words = words
         plain = TITLES.replace(r"m(?=\.)", "m")
+        n, w = "[0-9۰-۹٠-٩]", r"[\p{L}\p{N}'’-]+"
         #: What a text must contain for each generator to be run on it; names are also looked for where a known word stands.
         self.hints = (
             r"(?i)@|[\(\[]at[\)\]]| at .* dot ",
             r"(?:[0-9۰-۹٠-٩][^\p{L}]{0,3}){4}[0-9۰-۹٠-٩]|(?i:[A-Z][0-9]{2}|[A-Z][0-9][A-Z])",
             rf"(?i)(?:(?:{SPELLED})[ -]+){{5}}",
-            rf"(?i)[0-9۰-۹٠-٩].*(?:{STREETS_AFTER}|{STREETS_BEFORE}|{STREETS_WITHIN})|(?:{STREETS_AFTER}|{STREETS_WITHIN}).*[0-9۰-۹٠-٩]|{STREETS_PERSIAN}|[0-9]{{4,5}} \p{{L}}|, [a-z]{{2}} ?[0-9]|\b(?:am|an der|im) [\p{{L}}-]+ [0-9]",
+            rf"(?i){n}[a-d]?,? (?:{w} ){{1,3}}(?:{STREETS_AFTER})(?:\P{{L}}|$)|\P{{L}}(?:{STREETS_AFTER}) (?:no\.?|nr\.?|number)? ?{n}|(?:{STREETS_WITHIN}) {n}|{n}(?: ?(?:bis|ter|[a-d]))*,? (?:{STREETS_BEFORE}) \p{{L}}|(?:{STREETS_PERSIAN}) [^.؟!()]{{1,70}}{n}"
+            rf"|{n}[a-d]?,? (?:in )?{n}{{4,5}} \p{{L}}|{n}[a-d]?,? {w}(?: {w})?, {w}(?:,? [a-z]{{2}} {n}{{5}}| [a-z]{{1,2}}{n})|(?:^|\P{{L}})(?:am|an der|im) {w} {n}",
             rf"(?i:(?:^|[^\p{{L}}])(?:(?:{plain})\.?|{INTRODUCED}) \p{{L}})|\p{{Lu}}[\p{{L}}'’-]*\.? (?:\p{{L}}{{1,3}}\.? )?\p{{Lu}}",
         )
         self.memory: dict[tuple, int] = {}
@@ -558,16 +571,17 @@ class Redactor:
         fresh: list[list[int]] = []
         before = len(self.judged)
         for i, wanted, text in zip(at.tolist(), hints[:, at].T.tolist(), filled.take(pa.array(at)).to_pylist(), strict=True):
-            low, known = folded(text), known_at.get(i, frozenset())
+            low, known, uppers = folded(text), known_at.get(i, frozenset()), sum(map(str.isupper, text))
             for s in propose(low, text, known, wanted):
                 # everything that features() looks at
-                window = text[max(0, s.start - 30) : s.start], text[s.start : s.end], text[s.end : s.end + 20]
+                around, lowered = context(low, s), _lowered(text, low, s, uppers)
+                window = text[around[0] : s.start], text[s.start : s.end], text[s.end : around[1]]
                 of_name = tuple(a - s.start for a in sorted(known) if s.start <= a < s.end) if s.kind == 4 else ()
-                key = (s.kind, text == low, window if s.kind == 4 else tuple(x.translate(_SHAPE) for x in window), of_name, re.sub(r"\D", "", low[s.start : s.end])[:2], low[s.end - 3 : s.end] == "000", s.kind in (1, 2) and bool(re.search(r"\d{3}", low[s.end : s.end + 30])))
+                key = (s.kind, lowered, window if s.kind == 4 else tuple(x.translate(_SHAPE) for x in window), of_name, re.sub(r"\D", "", low[s.start : s.end])[:2], low[s.end - 3 : s.end] == "000")
                 k = self.memory.get(key)
                 if k is None:
                     k = self.memory[key] = before + len(fresh)
-                    fresh.append(features(low, text, s, known))
+                    fresh.append(features(low, text, s, known, around, lowered))
                 rows.append(i)
                 found.append(s)
                 which.append(k)
