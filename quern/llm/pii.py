@@ -40,7 +40,8 @@ BROADCAST_WORDS = 4_000_000
 TRAINING = 9_000
 
 _DIGITS = str.maketrans("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
-_SHAPE = str.maketrans("0123456789۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "9" * 30)
+_OTHER_DIGIT = re.compile("[۰-۹٠-٩]")
+_DIGIT = re.compile(r"\d")
 
 # Titles, introductions that a name follows in any case of letters, and those that only say so before capitals.
 TITLES = r"mr|mrs|ms|miss|dr|prof|herr|frau|m(?=\.)|mme|mlle|monsieur|madame|آقای|خانم|دکتر|مهندس"
@@ -362,7 +363,8 @@ _BEFORE = re.compile(rf"({_LETTER}+)\.?[ '’-]$")
 
 
 def _lowered(text: str, low: str, span: Span, uppers: int) -> bool:
-    return uppers > 0 and text[span.start : span.end].translate(_DIGITS) == low[span.start : span.end]
+    own = text[span.start : span.end]
+    return uppers > 0 and not any(map(str.isupper, own))
 
 
 def _beside(low: str, original: str, start: int, end: int, step: int) -> int:
@@ -376,7 +378,8 @@ def _beside(low: str, original: str, start: int, end: int, step: int) -> int:
 def folded(text: str) -> str:
     """Lower case with ASCII digits, position by position."""
     low = text.lower()
-    return (low if len(low) == len(text) else "".join(ch.lower() if len(ch.lower()) == 1 else ch for ch in text)).translate(_DIGITS)
+    low = low if len(low) == len(text) else "".join(ch.lower() if len(ch.lower()) == 1 else ch for ch in text)
+    return low.translate(_DIGITS) if _OTHER_DIGIT.search(low) else low
 
 
 # --- training ------------------------------------------------------------------------------------
@@ -577,7 +580,7 @@ class Redactor:
                 around, lowered = context(low, s), _lowered(text, low, s, uppers)
                 window = text[around[0] : s.start], text[s.start : s.end], text[s.end : around[1]]
                 of_name = tuple(a - s.start for a in sorted(known) if s.start <= a < s.end) if s.kind == 4 else ()
-                key = (s.kind, lowered, window if s.kind == 4 else tuple(x.translate(_SHAPE) for x in window), of_name, re.sub(r"\D", "", low[s.start : s.end])[:2], low[s.end - 3 : s.end] == "000")
+                key = (s.kind, lowered, window if s.kind == 4 else _DIGIT.sub("9", "\0".join(window)), of_name, re.sub(r"\D", "", low[s.start : s.end])[:2], low[s.end - 3 : s.end] == "000")
                 k = self.memory.get(key)
                 if k is None:
                     k = self.memory[key] = before + len(fresh)
