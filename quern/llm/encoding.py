@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -401,10 +401,12 @@ def vocabulary(documents: DataFrame, text: str = "text") -> dict[str, int]:
     marks = r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
     words = parts.where(r"part RLIKE '[^\\x00-\\x7F]' AND NOT part RLIKE '[\\x{600}-\\x{6FF}]' AND length(part) <= 60")
     words = words.select(F.regexp_replace(F.regexp_replace("part", f"^{marks}|{marks}$", ""), "[0-9]+", "0").alias("word")).groupBy("word").count()
-    words = words.where(F.col("count") >= MIN_COUNT)
-    # a share of all words counted needs their number first
-    total = words.agg(F.sum("count")).first()[0] or 0
-    return {r["word"]: r["count"] for r in words.where(F.col("count") >= total * MIN_SHARE).collect()}
+    seen = Observation()
+    words = words.where(F.col("count") >= MIN_COUNT).observe(seen, F.sum("count").alias("total"))
+    # no more words than this can have their share of the total, which the same job adds up
+    rows = words.orderBy(F.desc("count"), "word").limit(int(1 / MIN_SHARE)).collect()
+    total = (seen.get["total"] or 0) if rows else 0
+    return {r["word"]: r["count"] for r in rows if r["count"] >= total * MIN_SHARE}
 
 
 def _learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
