@@ -1,4 +1,8 @@
-"""Sentences written by hand, apart from the grammar that the trees learn from; {TYPE:...} marks a piece."""
+"""Sentences written by hand, apart from the grammar that the trees learn from; {TYPE:...} marks a piece.
+
+The first set was looked at while the model was made. The second was written later, but its score was seen
+before the last changes. The third was scored once, when nothing was changed any more.
+"""
 
 #: Name words that a corpus may have taught; most names below are not among them.
 WORDS = ["amelia", "thornbury", "farrokh", "کیانوش", "بهرامی"]
@@ -132,7 +136,6 @@ SENTENCES = [
     "I said no to 2 jobs and yes to one.",
 ]
 
-#: Written after the model was settled and never used to change it.
 FRESH = [
     "Forward the notes to {EMAIL:ruth.adler@meadowpost.net} when done.",
     "Notre association répond à {EMAIL:bureau@lestilleuls.test}.",
@@ -186,3 +189,48 @@ FRESH = [
     "دیروز 12 نفر در میدان بودند.",
     "No one at work knows.",
 ]
+
+LAST = [
+    "Could you reply to {EMAIL:dora.winfield@cloverhall.co.uk} by Friday?",
+    "My old address was {EMAIL:p_jansen71@zuidpost.test}, now dead.",
+    "Meldet euch bei {EMAIL:team[at]lesekreis[dot]de}.",
+    "Le contact reste {EMAIL:h.bonnard@atelier-sud.fr}.",
+    "آدرس {EMAIL:m.karimi@dabir.ir} جواب نمی‌دهد.",
+    "The hospice number is {PHONE:0191 498 0566}.",
+    "I keep dialling {PHONE:(206) 555-0117} by mistake.",
+    "Mein Vater ist unter {PHONE:0341 555 12 90} zu erreichen.",
+    "Elle m'a laissé le {PHONE:07 68 55 01 29}.",
+    "شماره‌اش {PHONE:0919 555 6612} بود.",
+    "Reach the landlord: {PHONE:+31 20 555 0147}",
+    "The form wants my passport number, {ID_NUMBER:P20938417}.",
+    "Social security {ID_NUMBER:447-20-9913} was on the envelope.",
+    "Ausweis {ID_NUMBER:L8ZN0K4R2} ist im Fundbüro.",
+    "Numéro de sécu {ID_NUMBER:1 85 11 75 120 044 31}, encore refusé.",
+    "کد ملی برادرم {ID_NUMBER:3240175800} است.",
+    "Letters still go to {ADDRESS:62 Harbour Street, Whitby}.",
+    "The shelter is at {ADDRESS:4 Chapel Row}.",
+    "Mein Zimmer ist in der {ADDRESS:Schillerstraße 9}, ganz oben.",
+    "Adresse: {ADDRESS:Mühlenweg 21, 24103 Kiel}",
+    "Nous logeons {ADDRESS:19 boulevard Gambetta}.",
+    "نشانی: {ADDRESS:خیابان حافظ، کوچه یاس، پلاک 40}",
+    "My manager, {NAME:Terrence Blackwood}, cut my hours.",
+    "Dear {NAME:Mrs Ferreira}, thank you.",
+    "My name is {NAME:Yusuf Demirci}.",
+    "I cried when {NAME:Marguerite Oyelaran} hugged me.",
+    "{NAME:Frau Lindemann} wohnt unter mir.",
+    "Ich heiße {NAME:Korbinian Achleitner}.",
+    "Je m'appelle {NAME:Apolline Desrosiers}.",
+    "{NAME:M. Fontaine} a réparé la porte.",
+    "اسمم {NAME:روزبه کیانی} است.",
+    "{NAME:آقای شریفی} فردا می‌آید.",
+    "Policy number 66120-441 expired.",
+    "Fall 903112755 ist noch offen.",
+    "Réf. 200418873 sans suite.",
+    "پرونده ۲۰۳۳۱۱۸۷۴ بسته شد.",
+    "On 2021-09-30 I scored 58/100.",
+    "There were 15 cars in the lane.",
+    "We visited Lower Denby last summer.",
+    "Die App Sanfter Schlaf kostet 9 Euro.",
+    "It rained for 6 days.",
+    "Personne ne m'a appelé depuis 3 semaines.",
+]

@@ -122,7 +122,7 @@ FRESH = {
 
 
 def test_refusals_apart_from_the_grammar(spark):
-    """Sentences written by hand: at least three in four refusals found, at most one in four others taken for one."""
+    """Sentences written by hand: at least three in four refusals found, at most one in eight others taken for one."""
     import pyarrow as pa
 
     from quern.llm import refusals
@@ -132,5 +132,5 @@ def test_refusals_apart_from_the_grammar(spark):
     got = dict(zip(FRESH, refusals.refuses(pa.array(list(FRESH)), w).tolist(), strict=True))
     found = sum(got[t] for t, k in FRESH.items() if k)
     wrong = sum(got[t] for t, k in FRESH.items() if not k)
-    assert found >= 0.75 * sum(FRESH.values()) and wrong <= 4, (found, wrong, [t for t, k in FRESH.items() if got[t] != k])
+    assert found >= 0.75 * sum(FRESH.values()) and wrong <= 2, (found, wrong, [t for t, k in FRESH.items() if got[t] != k])
     assert refusals.refuses(pa.array([None, "", " ", "x" * 100_000], pa.string()), w).tolist() == [False] * 4
