@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Code points handled at once; longer texts are handled alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
