@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +29,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder, so that several readers share it and lost executors cost no more than a read.
+
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Only where it names none, as in
+    local tests, a folder of this machine is made.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     context = spark.sparkContext

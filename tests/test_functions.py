@@ -56,3 +56,11 @@ def test_token_f1(spark, pairs):
     df = spark.createDataFrame(pairs, "g string, p string")
     got = df.select(tx.token_f1(tx.squeezed("g"), tx.squeezed("p"))).collect()
     assert [r[0] for r in got] == pytest.approx([f1(*x) for x in pairs])
+
+
+def test_cut_uses_the_session_folder(spark, tmp_path):
+    from quern.session import cut
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert sorted(r.id for r in cut(spark.range(3)).collect()) == [0, 1, 2]
+    assert any(tmp_path.rglob("part-*"))
