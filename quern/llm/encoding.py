@@ -523,7 +523,8 @@ def from_twins(documents: DataFrame, lossy: DataFrame, key: str = "doc_id", text
 
     shape = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "0"), r"[^\x00-\x7F]", "?"))
     asked = joined.where(lost).select("sentence", shape("sentence").alias("shape")).where(F.length(F.regexp_replace("shape", r"[^?A-Za-z]", "")) >= 12).distinct()
-    offered = sound.select("form", shape("form").alias("shape")).where(r"form RLIKE '[^\\x00-\\x7F]'").join(F.broadcast(asked.select("shape").distinct()), "shape", "left_semi")
+    # with the count the forms are one exchange, read twice
+    offered = sound.where("count > 0").select("form", shape("form").alias("shape")).where(r"form RLIKE '[^\\x00-\\x7F]'").join(F.broadcast(asked.select("shape").distinct()), "shape", "left_semi")
     if repair:
         offered = offered.select("shape", repaired("form", repair).alias("form")).where(shape("form") == F.col("shape")).distinct()
     filled = asked.join(offered, "shape").select("sentence", _fill("sentence", "form").alias("filled")).where("filled IS NOT NULL")
