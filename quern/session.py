@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,7 +50,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quern_shipped", False):
         return
     root = Path(__file__).parent
-    target = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
+    made = tempfile.mkdtemp(prefix="quern-")
+    # executors fetch the archive from here as long as the application runs
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    target = os.path.join(made, "quern.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, os.path.join("quern", p.relative_to(root)))
