@@ -6,7 +6,7 @@ span by its own format and by the words around it; spans above the calibrated th
 are kept, the surest first, and replaced. Spans are found in the canonical form of a text and are
 carried back to the text itself, which is left as it is everywhere else.
 
-The trees are trained on invented sentences (pii_grammar.py), which owe nothing to the tables at hand.
+The trees are trained on invented sentences (pii_grammar.py); no sentence of the tables at hand is among them.
 Name words are learned from all texts: words that often follow titles, greetings and introductions.
 """
 
